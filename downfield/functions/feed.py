@@ -25,8 +25,17 @@ def last(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
 
-def last_where(items: Column, condition) -> Column:
-    return last(F.filter(items, condition))
+def last_of(items: Column, condition, build=lambda x: x) -> Column:
+    """``build`` of the last item that meets the condition, or NULL.
+
+    The item is bound once as a lambda variable, however often ``build`` reads it.
+    """
+    return last(F.transform(F.filter(items, condition), build))
+
+
+def head(items: Column, build) -> Column:
+    """``build`` of the first item, or NULL."""
+    return first(F.transform(F.slice(items, 1, 1), build))
 
 
 def pick(source: Column, *names: str) -> list[Column]:
@@ -37,43 +46,48 @@ def competition(e: Column) -> Column:
     return first(e["competitions"])
 
 
-def records(competitor: Column) -> Column:
-    """Win-loss texts by kind; the record's type decides, or its name without one."""
+def records(entries: Column) -> Column:
+    """Win-loss texts by kind; an entry's type decides, or its name without one."""
     def of(*kinds: str) -> Column:
-        return last_where(competitor["records"],
-                          lambda r: F.coalesce(r["type"], r["name"], F.lit("")).isin(*kinds))["summary"]
+        return last_of(entries, lambda r: F.coalesce(r["type"], r["name"], F.lit("")).isin(*kinds),
+                       lambda r: r["summary"])
     return F.struct(of("total", "overall").alias("overall"), of("home").alias("home"),
                     of("road", "away").alias("away"))
 
 
-def leader(category: Column) -> Column:
-    """The first leader of a category with the athlete's details."""
-    top = first(category["leaders"])
+def leader(top: Column) -> Column:
+    """One leader with the athlete's details."""
     athlete = top["athlete"]
-    full_name = F.nullif(athlete["fullName"], F.lit(""))
-    return F.when(top.isNotNull(), F.struct(
-        F.coalesce(full_name, athlete["displayName"]).alias("name"),
+    return F.struct(
+        F.coalesce(F.nullif(athlete["fullName"], F.lit("")), athlete["displayName"]).alias("name"),
         *pick(athlete, "shortName", "displayName", "headshot", "jersey"),
         athlete["position"]["abbreviation"].alias("position"), athlete["team"]["id"].alias("teamId"),
         athlete["id"].alias("playerId"), *pick(top, "displayValue", "value"),
-        or_else(athlete["active"], True).alias("active")))
+        or_else(athlete["active"], True).alias("active"))
+
+
+def first_tag(tags: tuple[str, ...], has) -> Column:
+    """The first tag that ``has`` accepts, or ""."""
+    chain = F
+    for tag in tags:
+        chain = chain.when(has(tag), tag)
+    return chain.otherwise("")
 
 
 def leaders(categories: Column) -> Column:
     """Leaders by passing, rushing and receiving; a name belongs to the first that fits."""
-    def kind(c: Column) -> Column:
-        name = F.lower(c["name"])
-        out = F
-        for k in CATEGORIES:
-            out = out.when(name.contains(k), k)
-        return out.otherwise("")
-    return F.struct(*[leader(last_where(categories, lambda c, k=k: kind(c) == k)).alias(k) for k in CATEGORIES])
+    def of(kind: str) -> Column:
+        return last_of(categories, lambda c: first_tag(CATEGORIES, F.lower(c["name"]).contains) == kind,
+                       lambda c: head(c["leaders"], leader))
+    return F.struct(*[of(kind).alias(kind) for kind in CATEGORIES])
 
 
 def side(comp: Column, home: bool) -> Column:
     """The home competitor, or the other one."""
-    is_home = lambda c: c["homeAway"].eqNullSafe("home")
-    return last_where(comp["competitors"], is_home if home else lambda c: ~is_home(c))
+    def is_side(c: Column) -> Column:
+        at_home = c["homeAway"].eqNullSafe("home")
+        return at_home if home else ~at_home
+    return last_of(comp["competitors"], is_side)
 
 
 def score(competitor: Column) -> Column:
@@ -82,32 +96,38 @@ def score(competitor: Column) -> Column:
 
 def team(competitor: Column) -> Column:
     """A team with its score, records and leaders."""
-    kept = records(competitor)
     return F.when(competitor.isNotNull(), F.struct(
         *pick(competitor["team"], "id", "uid", "abbreviation", "name", "displayName", "shortDisplayName",
               "color", "alternateColor", "logo"),
-        score(competitor).alias("score"), *pick(competitor, "winner", "homeAway"), kept.alias("records"),
-        kept["overall"].alias("record"), leaders(competitor["leaders"]).alias("leaders")))
+        score(competitor).alias("score"), *pick(competitor, "winner", "homeAway"),
+        records(competitor["records"]).alias("records"),
+        records(competitor["records"])["overall"].alias("record"),
+        leaders(competitor["leaders"]).alias("leaders")))
+
 
+def has_ball(s: Column, abbr: Column) -> Column:
+    return or_else(s["situation"]["possession"], "").eqNullSafe(abbr)
 
-def situation(s: Column, home_abbr: Column, away_abbr: Column, home_score: Column, away_score: Column) -> dict:
+
+def situation(s: Column, home_ball: Column) -> dict[str, Column]:
     """Flat situation columns, seen from the team with the ball.
 
-    The feed counts yards from the home goal; a yard line of 0 means unknown.
+    ``home_ball`` says whether that is the home team; team codes and scores are
+    read from the columns beside it. The feed counts yards from the home goal,
+    and a yard line of 0 means unknown.
     """
     now = s["situation"]
-    yard_line = or_else(now["yardLine"], 50)
-    ball = or_else(now["possession"], "")
-    home_ball = ball.eqNullSafe(home_abbr)
-    pick_side = lambda home, away: F.when(home_ball, home).otherwise(away)
-    yards = F.when(yard_line == 0, 75).otherwise(pick_side(100 - yard_line, yard_line))
-    distance = or_else(now["distance"], 0)
+    line, distance = or_else(now["yardLine"], 50), or_else(now["distance"], 0)
+    by_side = lambda home, away: F.when(home_ball, home).otherwise(away)
+    yards = F.when(line == 0, 75).otherwise(by_side(100 - line, line))
+    home, away = F.col("home_score"), F.col("away_score")
     return {
-        "down": or_else(now["down"], 0), "ydstogo": distance, "yard_line": yard_line, "possession": ball,
-        "yardline_100": yards,
-        "score_differential": pick_side(home_score - away_score, away_score - home_score),
-        "posteam": pick_side(home_abbr, away_abbr), "defteam": pick_side(away_abbr, home_abbr),
-        "posteam_type": pick_side(F.lit("home"), F.lit("away")),
+        "down": or_else(now["down"], 0), "ydstogo": distance, "yard_line": line,
+        "possession": or_else(now["possession"], ""), "yardline_100": yards,
+        "score_differential": by_side(home - away, away - home),
+        "posteam": by_side(F.col("home_team"), F.col("away_team")),
+        "defteam": by_side(F.col("away_team"), F.col("home_team")),
+        "posteam_type": by_side(F.lit("home"), F.lit("away")),
         "goal_to_go": F.when(yards <= distance, 1).otherwise(0)}
 
 
@@ -123,13 +143,12 @@ def half_seconds(e: Column, s: Column) -> Column:
     return clock_seconds(display_clock(e), period(e, s))
 
 
-def odds(comp: Column) -> Column:
-    """The first provider's lines, with opening and closing prices."""
-    line = first(comp["odds"])
+def odds_line(line: Column) -> Column:
+    """One provider's lines, with opening and closing prices."""
     price = line["moneyline"]
     home, away = price["home"]["close"]["odds"], price["away"]["close"]["odds"]
     closing = lambda c: F.struct(*pick(c["close"], "line", "odds"))
-    return F.when(line.isNotNull(), F.struct(
+    return F.struct(
         line["provider"]["name"].alias("provider"), line["provider"]["id"].alias("providerId"),
         *pick(line, "details", "spread", "overUnder"),
         F.struct(home.alias("home"), away.alias("away"), price["home"]["open"]["odds"].alias("homeOpen"),
@@ -140,7 +159,12 @@ def odds(comp: Column) -> Column:
                  closing(line["total"]["under"]).alias("under")).alias("total"),
         or_else(line["homeTeamOdds"]["favorite"], False).alias("homeFavorite"),
         or_else(line["awayTeamOdds"]["favorite"], False).alias("awayFavorite"),
-        home.alias("homeMoneyLine"), away.alias("awayMoneyLine")))
+        home.alias("homeMoneyLine"), away.alias("awayMoneyLine"))
+
+
+def odds(comp: Column) -> Column:
+    """The first provider's lines."""
+    return head(comp["odds"], odds_line)
 
 
 def weather(e: Column) -> Column:
@@ -200,22 +224,21 @@ def last_play(s: Column) -> Column:
 
 
 def tickets(comp: Column) -> Column:
-    offer = first(comp["tickets"])
-    return F.when(offer.isNotNull(), F.struct(
+    return head(comp["tickets"], lambda offer: F.struct(
         *pick(offer, "summary", "numberAvailable"), first(offer["links"])["href"].alias("link")))
 
 
+# Relation tags of a link, and the names the pages go by.
+LINK_TAGS = {"summary": "gamecast", "boxscore": "boxscore", "pbp": "playbyplay"}
+
+
 def links(e: Column) -> Column:
     """Page addresses by relation tag; a link counts for the first tag it carries."""
-    tags = {"summary": "gamecast", "boxscore": "boxscore", "pbp": "playbyplay"}
-
-    def kind(link: Column) -> Column:
-        out = F
-        for tag in tags:
-            out = out.when(F.array_contains(link["rel"], tag), tag)
-        return out.otherwise("")
-    return F.struct(*[last_where(e["links"], lambda x, t=t: kind(x) == t)["href"].alias(name)
-                      for t, name in tags.items()])
+    def of(tag: str) -> Column:
+        def tagged(link: Column) -> Column:
+            return first_tag(tuple(LINK_TAGS), lambda t: F.array_contains(link["rel"], t)) == tag
+        return last_of(e["links"], tagged, lambda link: link["href"])
+    return F.struct(*[of(tag).alias(name) for tag, name in LINK_TAGS.items()])
 
 
 def status(e: Column, s: Column) -> Column:

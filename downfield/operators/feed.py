@@ -45,20 +45,21 @@ def _sides(games: DataFrame) -> DataFrame:
 
 def home_away(games: DataFrame) -> DataFrame:
     """Competitors split into home and away teams."""
-    return (_sides(games).withColumns({"home_team_full": f.team(F.col("home_side")),
-                                       "away_team_full": f.team(F.col("away_side"))})
-            .drop("home_side", "away_side"))
+    return _sides(games).withColumns({"home_team_full": f.team(F.col("home_side")),
+                                      "away_team_full": f.team(F.col("away_side"))})
 
 
 def with_situation(games: DataFrame) -> DataFrame:
-    """Flat situation columns next to the team structs."""
-    s, home, away = F.col("s"), F.col("home_team_full"), F.col("away_team_full")
-    scores = games.withColumns({
-        "home_team": home["abbreviation"], "away_team": away["abbreviation"],
-        "home_score": f.or_else(home["score"], 0), "away_score": f.or_else(away["score"], 0)})
-    return scores.withColumns({
-        **f.situation(s, F.col("home_team"), F.col("away_team"), F.col("home_score"), F.col("away_score")),
-        "qtr": f.period(F.col("e"), s), "half_seconds_remaining": f.half_seconds(F.col("e"), s)})
+    """Flat situation columns. Codes and scores come straight from the competitors,
+    not from the wide team structs, which keeps the expressions small."""
+    e, s = F.col("e"), F.col("s")
+    home, away = F.col("home_side"), F.col("away_side")
+    named = games.withColumns({
+        "home_team": home["team"]["abbreviation"], "away_team": away["team"]["abbreviation"],
+        "home_score": f.score(home), "away_score": f.score(away),
+        "home_ball": f.has_ball(s, home["team"]["abbreviation"])})
+    return named.withColumns({**f.situation(s, F.col("home_ball")), "qtr": f.period(e, s),
+                              "half_seconds_remaining": f.half_seconds(e, s)})
 
 
 def flatten_feed(events: DataFrame, summaries: DataFrame, source: str = "live_feed") -> DataFrame:

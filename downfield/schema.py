@@ -2,26 +2,36 @@
 
 from pyspark.sql import types as T
 
+
+def one_line(ddl: str) -> str:
+    return " ".join(ddl.split())
+
+
+def struct_of(ddl: str) -> T.StructType:
+    """The type a DDL text stands for; needs a running session."""
+    return T.StructType.fromDDL(ddl)
+
+
 # Field names and types of each record kind. Play ids are widened to
 # bigint, so that ids beyond the 32-bit range survive.
-PLAY_EVENT_DDL = """
+PLAY_EVENT = one_line("""
     game_id string, play_id bigint, quarter int, down int, ydstogo int, yardline_100 int,
     posteam string, defteam string, play_type string, shotgun int, no_huddle int,
     offense_formation string, defenders_in_box int, number_of_pass_rushers int,
     was_pressure int, time_to_throw double, epa double, event_time string
-"""
-LIVE_PLAY_DDL = """
+""")
+LIVE_PLAY = one_line("""
     game_id string, down int, ydstogo int, yardline_100 int, qtr int,
     half_seconds_remaining int, score_differential int, posteam string, defteam string,
     home_team string, away_team string, home_score int, away_score int, goal_to_go int,
     shotgun int, no_huddle int, defenders_in_box int, number_of_pass_rushers int,
     timestamp string, source string, description string, posteam_type string
-"""
-TRACKING_FRAME_DDL = """
+""")
+TRACKING_FRAME = one_line("""
     game_id string, play_id bigint, frame_id int, player_id string, team string,
     position string, x double, y double, speed double, acceleration double,
     direction double, event_time timestamp
-"""
+""")
 # Season-file columns the engine reads. They are all read as text,
 # because the files mark missing numbers in several ways ("", "NA", "1.0").
 HISTORY_COLUMNS = """
@@ -34,14 +44,6 @@ HISTORY_COLUMNS = """
 """.split()
 
 
-def struct_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(ddl.split()))
-
-
-PLAY_EVENT = struct_of(PLAY_EVENT_DDL)
-LIVE_PLAY = struct_of(LIVE_PLAY_DDL)
-TRACKING_FRAME = struct_of(TRACKING_FRAME_DDL)
-
 # Feed documents. Only the branches that are read are declared, so the JSON
 # reader skips everything else; every leaf may be absent.
 _ATHLETE = """struct<id:string, fullName:string, displayName:string, shortName:string,
@@ -60,7 +62,7 @@ _ODDS = f"""struct<provider:struct<id:string, name:string>, details:string, spre
     pointSpread:struct<home:struct<close:{_LINE}>, away:struct<close:{_LINE}>>,
     total:struct<over:struct<close:{_LINE}>, under:struct<close:{_LINE}>>,
     homeTeamOdds:struct<favorite:boolean>, awayTeamOdds:struct<favorite:boolean>>"""
-EVENT_DOC = struct_of(f"""
+EVENT_DOC = one_line(f"""
     id string, uid string, name string, shortName string, date string,
     week struct<number:int>, season struct<type:int, year:int>,
     status struct<period:int, displayClock:string, type:struct<state:string, detail:string,
@@ -80,7 +82,7 @@ EVENT_DOC = struct_of(f"""
 """)
 _PLAY = """struct<id:string, text:string, period:struct<number:int>, type:struct<text:string>,
     start:struct<down:int, distance:int, yardsToEndzone:int, team:struct<id:string>>>"""
-SUMMARY_DOC = struct_of(f"""
+SUMMARY_DOC = one_line(f"""
     situation struct<down:int, distance:int, yardLine:int, possession:string, period:int,
         isRedZone:boolean, downDistanceText:string, shortDownDistanceText:string,
         possessionText:string, lastPlay:struct<id:string, text:string, type:struct<text:string>,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.constants import TEAMS
+from downfield.session import new_dir
 
 PLAYS_SQL = """
 select concat(cast(year(o.o_orderdate) as varchar(10)), '_', cast(1 + o.o_orderkey % 18 as varchar(10)), '_', cast(o.o_custkey % 16 as varchar(10))) as game_id,
@@ -224,11 +225,24 @@ def tracked_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestamp_millis(1704067200000 + play_id * 10000) as event_time")
 
 
+# Folders of raw feed tables, by session and source folder.
+_STAGED: dict[tuple[str, str], str] = {}
+
+
 def feed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Raw feed tables: (game_id, event json) and (game_id, summary json)."""
-    rows = games(spark, sf_dir)
-    return (rows.select("game_id", F.to_json(_event()).alias("event")),
-            rows.filter("has_summary").select("game_id", F.to_json(_summary()).alias("summary")))
+    """Raw feed tables: (game_id, event json) and (game_id, summary json).
+
+    They are written to the shared folder once per session, as a feed would
+    have left them there.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        path, rows = new_dir(spark, "feed"), games(spark, sf_dir)
+        rows.select("game_id", F.to_json(_event()).alias("event")).write.parquet(f"{path}/events")
+        (rows.filter("has_summary").select("game_id", F.to_json(_summary()).alias("summary"))
+         .write.parquet(f"{path}/summaries"))
+        _STAGED[key] = path
+    return (spark.read.parquet(f"{_STAGED[key]}/events"), spark.read.parquet(f"{_STAGED[key]}/summaries"))
 
 
 def _keep(condition, branch: Column) -> Column:

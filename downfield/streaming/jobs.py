@@ -9,7 +9,6 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from downfield.operators.score import enrich, enriched_output, score_batch
@@ -17,7 +16,7 @@ from downfield.schema import PLAY_EVENT
 from downfield.sources.sinks import merge_snapshot, spread_sort
 
 
-def read_from_files(spark: SparkSession, path: str, schema: T.StructType = PLAY_EVENT,
+def read_from_files(spark: SparkSession, path: str, schema: str = PLAY_EVENT,
                     max_files: int | None = 1, newest_first: bool = False) -> DataFrame:
     """JSON-lines files as they appear, ``max_files`` per trigger (None: no bound)."""
     reader = spark.readStream.schema(schema).option("latestFirst", newest_first)
