@@ -21,7 +21,7 @@ from downfield.models.metrics import accuracy, auc, classification_report, regre
 from downfield.operators.clean import coerce_columns
 from downfield.operators.features import prepare_class, prepare_ep, prepare_pressure, prepare_scoring
 from downfield.operators.summary import class_weight
-from downfield.session import materialise, shared_dir
+from downfield.session import materialise, new_dir, shared_dir  # noqa: F401
 
 SEED = 42
 TRAIN_SHARE = 0.8

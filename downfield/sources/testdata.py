@@ -5,10 +5,14 @@ both sides start from the same rows. The feed documents themselves are built
 only on the Spark side; the oracle works from the flat ``games`` rows.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.constants import TEAMS
+from downfield.operators.clean import play_event
+from downfield.schema import HISTORY_COLUMNS
 from downfield.session import new_dir
 
 PLAYS_SQL = """
@@ -225,24 +229,68 @@ def tracked_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestamp_millis(1704067200000 + play_id * 10000) as event_time")
 
 
-# Folders of raw feed tables, by session and source folder.
-_STAGED: dict[tuple[str, str], str] = {}
-
+# Folders written so far, by session, source folder and name.
+_STAGED: dict[tuple[str, str, str], str] = {}
 
-def feed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Raw feed tables: (game_id, event json) and (game_id, summary json).
 
-    They are written to the shared folder once per session, as a feed would
-    have left them there.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
+def staged(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """A folder below the shared one that ``write`` fills, once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
-        path, rows = new_dir(spark, "feed"), games(spark, sf_dir)
+        path = new_dir(spark, name)
+        write(path)
+        _STAGED[key] = path
+    return _STAGED[key]
+
+
+def feed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw feed tables: (game_id, event json) and (game_id, summary json), written
+    to the shared folder as a feed would have left them there."""
+    def write(path: str) -> None:
+        rows = games(spark, sf_dir)
         rows.select("game_id", F.to_json(_event()).alias("event")).write.parquet(f"{path}/events")
         (rows.filter("has_summary").select("game_id", F.to_json(_summary()).alias("summary"))
          .write.parquet(f"{path}/summaries"))
-        _STAGED[key] = path
-    return (spark.read.parquet(f"{_STAGED[key]}/events"), spark.read.parquet(f"{_STAGED[key]}/summaries"))
+
+    path = staged(spark, sf_dir, "feed", write)
+    return spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/summaries")
+
+
+EVENT_TIME_SQL = ("concat('2024-01-', lpad(cast(1 + partkey % 28 as varchar(10)), 2, '0'), 'T', "
+                  "lpad(cast(partkey % 24 as varchar(10)), 2, '0'), ':', "
+                  "lpad(cast(play_id % 60 as varchar(10)), 2, '0'), ':00')")
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> str:
+    """Play events as JSON-lines files."""
+    return staged(spark, sf_dir, "events", lambda path: (
+        play_event(history(spark, sf_dir), F.expr(EVENT_TIME_SQL)).write
+        .option("maxRecordsPerFile", 20_000).json(path)))
+
+
+def live_files(spark: SparkSession, sf_dir: str) -> str:
+    """Live plays as JSON-lines files."""
+    return staged(spark, sf_dir, "live", lambda path: (
+        live_plays(spark, sf_dir).drop("play_id").write.option("maxRecordsPerFile", 20_000).json(path)))
+
+
+# Columns that older seasons lack.
+LATE_COLUMNS = ["route", "was_pressure", "time_to_throw"]
+FIRST_FULL_SEASON = 1998
+
+
+def season_files(spark: SparkSession, sf_dir: str) -> str:
+    """Season files in two layouts: ``old`` seasons lack some columns and order the
+    rest differently from ``new`` ones. ``all`` has one layout throughout."""
+    def write(path: str) -> None:
+        rows = history(spark, sf_dir).select(*HISTORY_COLUMNS)
+        old = [c for c in reversed(HISTORY_COLUMNS) if c not in LATE_COLUMNS]
+        csv = lambda df, name: df.write.option("header", True).csv(f"{path}/{name}")
+        csv(rows, "all")
+        csv(rows.filter(F.col("season") < FIRST_FULL_SEASON).select(*old), "old")
+        csv(rows.filter(F.col("season") >= FIRST_FULL_SEASON), "new")
+
+    return staged(spark, sf_dir, "seasons", write)
 
 
 def _keep(condition, branch: Column) -> Column:
