@@ -19,9 +19,15 @@ def safe_int(c: Column | str) -> Column:
     return number(c).try_cast("int")
 
 
-def coerce_zero(c: Column | str) -> Column:
-    """Double value with 0 for anything that is missing or not a number."""
-    return F.coalesce(nan_to_null(number(c)), F.lit(0.0))
+def coerce_zero(c: Column | str, kind: T.DataType | None = None) -> Column:
+    """Double value with 0 for anything that is missing or not a number.
+
+    A known integral ``kind`` needs no check beyond the one for NULL.
+    """
+    zero = F.lit(0.0)
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(_col(c).cast("double"), zero)
+    return F.nanvl(F.coalesce(number(c), zero), zero)
 
 
 def whole_or_zero(c: Column | str, kind: str = "int") -> Column:

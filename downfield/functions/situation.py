@@ -78,11 +78,12 @@ def parse_personnel(text: Column) -> Column:
     """Struct (n_rb, n_te, n_wr) from text such as "1 RB, 2 TE, 2 WR".
 
     Full backs count as running backs, an absent group as 0, and missing text
-    as the usual 1-1-3.
+    as the usual 1-1-3. An absent group never reaches the cast, whose failure
+    would cost far more than the match.
     """
     def group(code: str) -> Column:
         digits = F.regexp_extract(text, rf"(\d+)\s*{code}", 1)
-        return F.coalesce(digits.try_cast("int"), F.lit(0))
+        return F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(0))
 
     known = text.isNotNull()
     return F.struct(

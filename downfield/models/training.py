@@ -5,6 +5,7 @@ fewer trees for a quick run. Frames that several fits read are fixed in the
 shared folder first.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from downfield.constants import (CLASS_FEATURES, EP_FEATURES, PASS_LABELS, PRESSURE_FEATURES, RUN_LABELS,
                                  SCORING_FEATURES, SCORING_TARGETS)
@@ -21,7 +23,7 @@ from downfield.models.metrics import accuracy, auc, classification_report, regre
 from downfield.operators.clean import coerce_columns
 from downfield.operators.features import prepare_class, prepare_ep, prepare_pressure, prepare_scoring
 from downfield.operators.summary import class_weight
-from downfield.session import materialise, new_dir, shared_dir  # noqa: F401
+from downfield.session import materialise, shared_dir
 
 SEED = 42
 TRAIN_SHARE = 0.8
@@ -89,17 +91,26 @@ def train_ep(df: DataFrame, trees: int = 500, depth: int = 6) -> tuple[PipelineM
 
 
 def train_scoring(df: DataFrame, trees: int = 300, depth: int = 5,
-                  targets: list[str] = SCORING_TARGETS) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """One regressor per scoring outcome, all over the same fixed frame."""
+                  targets: list[str] = SCORING_TARGETS, parallelism: int = 4,
+                  ) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """One regressor per scoring outcome, all over the same fixed frame.
+
+    A few fits run at a time: late boosting rounds leave executors idle that
+    another fit can use.
+    """
     train, test = train_test(materialise(with_split(prepare_scoring(df))))
-    models, metrics = {}, []
-    for target in targets:
-        models[target] = _fit(train, SCORING_FEATURES, _trees(
+
+    def fit(target: str) -> tuple[PipelineModel, DataFrame]:
+        model = _fit(train, SCORING_FEATURES, _trees(
             GBTRegressor, target, trees, depth, 0.05, subsamplingRate=0.8,
             featureSubsetStrategy="0.8", minInstancesPerNode=10))
-        scored = apply_model(models[target], test, "pred")
-        metrics.append(regression_metrics(scored, target, "pred").select(F.lit(target).alias("target"), "*"))
-    return models, reduce(DataFrame.unionByName, metrics)
+        quality = regression_metrics(apply_model(model, test, "pred"), target, "pred")
+        return model, quality.select(F.lit(target).alias("target"), "*")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), targets))
+    return ({t: model for t, (model, _) in zip(targets, fitted)},
+            reduce(DataFrame.unionByName, [quality for _, quality in fitted]))
 
 
 def normalise(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from downfield.operators.score import score_batch
 from downfield.plans.play_queries import (CLASS_FEATURES_SQL, EP_BATCH, EP_SQL, FROM_PLAYS, KEYS, PASS_BATCH,
                                           PLAY_BATCH, PRESSURE_SQL)
 from downfield.plans.registry import query
+from downfield.session import new_dir
 from downfield.sources import testdata as data
 
 TREES, DEPTH = 3, 4
@@ -122,7 +123,7 @@ def q_ml_importance(spark, sf):
 @query("ml_score")
 def q_ml_score(spark, sf):
     """Every play scored by a model that was saved and loaded again."""
-    plays, path = data.history(spark, sf), training.new_dir(spark, "model")
+    plays, path = data.history(spark, sf), new_dir(spark, "model")
     training.save(training.train_ep(plays, TREES, DEPTH)[0], path)
     return training.apply_model(training.load(path), plays, "ep_pred").select(
         "game_id", "play_id", "ep", "ep_pred")

@@ -54,7 +54,9 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Fix ``df`` in the shared folder, so later passes neither recompute it nor
-    depend on the executors that produced it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back. Later passes neither
+    recompute it nor depend on the executors that made it, and still read only
+    the columns they need."""
+    path = new_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

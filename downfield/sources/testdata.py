@@ -229,6 +229,8 @@ def tracked_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestamp_millis(1704067200000 + play_id * 10000) as event_time")
 
 
+# Rows per staged file, so that many tasks can read what one task wrote.
+ROWS_PER_FILE = 20_000
 # Folders written so far, by session, source folder and name.
 _STAGED: dict[tuple[str, str, str], str] = {}
 
@@ -248,9 +250,10 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     to the shared folder as a feed would have left them there."""
     def write(path: str) -> None:
         rows = games(spark, sf_dir)
-        rows.select("game_id", F.to_json(_event()).alias("event")).write.parquet(f"{path}/events")
+        (rows.select("game_id", F.to_json(_event()).alias("event")).write
+         .option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/events"))
         (rows.filter("has_summary").select("game_id", F.to_json(_summary()).alias("summary"))
-         .write.parquet(f"{path}/summaries"))
+         .write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/summaries"))
 
     path = staged(spark, sf_dir, "feed", write)
     return spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/summaries")
@@ -265,13 +268,13 @@ def event_files(spark: SparkSession, sf_dir: str) -> str:
     """Play events as JSON-lines files."""
     return staged(spark, sf_dir, "events", lambda path: (
         play_event(history(spark, sf_dir), F.expr(EVENT_TIME_SQL)).write
-        .option("maxRecordsPerFile", 20_000).json(path)))
+        .option("maxRecordsPerFile", ROWS_PER_FILE).json(path)))
 
 
 def live_files(spark: SparkSession, sf_dir: str) -> str:
     """Live plays as JSON-lines files."""
     return staged(spark, sf_dir, "live", lambda path: (
-        live_plays(spark, sf_dir).drop("play_id").write.option("maxRecordsPerFile", 20_000).json(path)))
+        live_plays(spark, sf_dir).drop("play_id").write.option("maxRecordsPerFile", ROWS_PER_FILE).json(path)))
 
 
 # Columns that older seasons lack.
@@ -285,7 +288,8 @@ def season_files(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
         rows = history(spark, sf_dir).select(*HISTORY_COLUMNS)
         old = [c for c in reversed(HISTORY_COLUMNS) if c not in LATE_COLUMNS]
-        csv = lambda df, name: df.write.option("header", True).csv(f"{path}/{name}")
+        csv = lambda df, name: (
+            df.write.option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(f"{path}/{name}"))
         csv(rows, "all")
         csv(rows.filter(F.col("season") < FIRST_FULL_SEASON).select(*old), "old")
         csv(rows.filter(F.col("season") >= FIRST_FULL_SEASON), "new")
