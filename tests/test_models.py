@@ -58,10 +58,17 @@ def test_normalise_leaves_rows_without_a_positive_sum(spark):
     assert [tuple(r) for r in training.normalise(df, ["a", "b"]).collect()] == [(0.25, 0.75), (0.0, 0.0)]
 
 
-def test_classes_come_from_the_label_lists(plays):
+def test_class_follows_the_three_stages(plays):
     models, report = training.train_classifier(plays, trees=(2, 2, 2), depths=(2, 2, 2))
-    got = {r.predicted_class for r in training.predict_class(models, plays).select("predicted_class").distinct().collect()}
-    assert got <= set(RUN_LABELS + PASS_LABELS) and got & set(RUN_LABELS) and got & set(PASS_LABELS)
+    stages = plays
+    for name in ("run_pass", "run_type", "pass_type"):
+        stages = training.apply_model(models[name], stages, f"by_{name}")
+    got = training.predict_class(models, stages).groupBy("by_run_pass", "by_run_type", "by_pass_type",
+                                                         "predicted_class").count().collect()
+    assert got
+    for r in got:
+        thrown, run = PASS_LABELS[int(r.by_pass_type)], RUN_LABELS[int(r.by_run_type)]
+        assert r.predicted_class == (thrown if r.by_run_pass == 1 else run)
     assert report.agg(F.sum("support")).first()[0] > 0
 
 
