@@ -83,6 +83,14 @@ def test_snapshot_keeps_newest_play_and_survives_retry(spark, tmp_path):
     assert sinks.read_latest(spark, base).count() == 2
 
 
+def test_old_snapshots_go(spark, tmp_path):
+    base = str(tmp_path / "snap")
+    for version in range(4):
+        sinks.publish_snapshot(spark.range(version), base, version, keep=2)
+    assert sorted(os.listdir(base)) == ["version=000000000002", "version=000000000003"]
+    assert sinks.read_latest(spark, base).count() == 3
+
+
 def test_chunks_hold_the_first_plays_in_order(spark, sf, tmp_path):
     path = str(tmp_path / "chunks")
     events = play_event(data.history(spark, sf)).select("game_id", "play_id")
