@@ -30,8 +30,11 @@ def coerce_zero(c: Column | str, kind: T.DataType | None = None) -> Column:
     return F.nanvl(F.coalesce(number(c), zero), zero)
 
 
-def whole_or_zero(c: Column | str, kind: str = "int") -> Column:
-    return F.coalesce(number(c).try_cast(kind), F.lit(0).cast(kind))
+def whole_or_zero(c: Column | str, out: str = "int", kind: T.DataType | None = None) -> Column:
+    """Whole part of a number, 0 where there is none. A known integral ``kind`` is
+    not taken through a double, which would round large ids."""
+    value = _col(c) if isinstance(kind, T.IntegralType) else number(c)
+    return F.coalesce(value.try_cast(out), F.lit(0).cast(out))
 
 
 def text_or_empty(c: Column | str) -> Column:

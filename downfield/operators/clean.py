@@ -65,13 +65,16 @@ def play_event(df: DataFrame, event_time: Column | None = None) -> DataFrame:
     Columns the source lacks count as missing too. The event time is the
     moment of the query unless given.
     """
-    present = set(df.columns)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
 
     def source(name: str) -> Column:
-        return F.col(name) if name in present else F.lit(None)
+        return F.col(name) if name in kinds else F.lit(None)
+
+    def whole(name: str, out: str = "int") -> Column:
+        return whole_or_zero(source(name), out, kinds.get(name))
 
     def ints(*names: str) -> list[Column]:
-        return [whole_or_zero(source(n)).alias(n) for n in names]
+        return [whole(n).alias(n) for n in names]
 
     def texts(*names: str) -> list[Column]:
         return [text_or_empty(source(n)).alias(n) for n in names]
@@ -79,8 +82,7 @@ def play_event(df: DataFrame, event_time: Column | None = None) -> DataFrame:
     if event_time is None:
         event_time = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return df.select(
-        *texts("game_id"), whole_or_zero(source("play_id"), "bigint").alias("play_id"),
-        whole_or_zero(source("qtr")).alias("quarter"), *ints("down", "ydstogo", "yardline_100"),
+        *texts("game_id"), whole("play_id", "bigint").alias("play_id"), whole("qtr").alias("quarter"), *ints("down", "ydstogo", "yardline_100"),
         *texts("posteam", "defteam", "play_type"), *ints("shotgun", "no_huddle"),
         *texts("offense_formation"), *ints("defenders_in_box", "number_of_pass_rushers", "was_pressure"),
         coerce_zero(source("time_to_throw")).alias("time_to_throw"), coerce_zero(source("epa")).alias("epa"),

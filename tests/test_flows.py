@@ -148,6 +148,17 @@ def test_decode_routes_bad_records(spark):
     assert records.quarantine(decoded).count() == 4
 
 
+def test_decoding_parses_once(spark):
+    df = spark.createDataFrame([("{}",)], "value string")
+    good = records.good_records(records.decode_records(df))
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_large_play_ids_are_kept(spark):
+    big = 2**60 + 1
+    assert play_event(spark.createDataFrame([(big,)], "play_id bigint")).first().play_id == big
+
+
 def test_keyed_json_has_a_key_for_every_row(spark):
     df = spark.createDataFrame([("g", None), (None, 1)], "game_id string, down int")
     assert rows(records.to_keyed_json(df)) == rows(spark.createDataFrame(
