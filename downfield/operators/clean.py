@@ -45,7 +45,8 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
 
 def coerce_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns that exist become doubles with 0 for missing values."""
-    return df.withColumns({f.name: coerce_zero(f.name, f.dataType) for f in df.schema.fields if f.name in columns})
+    return df.withColumns({
+        f.name: coerce_zero(f.name, f.dataType) for f in df.schema.fields if f.name in columns})
 
 
 def fill_defaults(df: DataFrame, fills: dict[str, object] = MODEL_FILLS) -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from downfield.constants import SCORING_TARGETS
 from downfield.models import metrics, training
-from downfield.operators.features import prepare_class, prepare_ep, prepare_pressure, prepare_scoring
+from downfield.operators.features import prepare_class, prepare_ep, prepare_scoring
 from downfield.operators.score import score_batch
-from downfield.plans.play_queries import (CLASS_FEATURES_SQL, EP_BATCH, EP_SQL, FROM_PLAYS, KEYS, PASS_BATCH,
-                                          PLAY_BATCH, PRESSURE_SQL)
+from downfield.plans.play_queries import EP_BATCH, EP_SQL, FROM_PLAYS, KEYS, PASS_BATCH, PLAY_BATCH
 from downfield.plans.registry import query
 from downfield.session import new_dir
 from downfield.sources import testdata as data

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from downfield.constants import (CLASS_FEATURES, EP_FEATURES, HEADSHOT_URL, PRESSURE_FEATURES, SCORING_FEATURES,
                                  SCORING_TARGETS, TEAM_LOGO_URL, TEAMS, VECTOR_FEATURES)
-from downfield.functions import batch_rules, live_rules, situation, text
+from downfield.functions import situation, text
 from downfield.functions.clean import safe_int
 from downfield.operators import clean, features, score, summary
 from downfield.plans.registry import query

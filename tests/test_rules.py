@@ -9,7 +9,9 @@ from downfield.functions import text
 from downfield.functions.situation import parse_personnel
 from downfield.operators.score import score_api, score_batch
 
-DOWNS, DISTANCES, YARDS = [None, 1, 2, 3, 4], [None, 1, 2, 3, 5, 7, 9, 10, 12], [None, 1, 5, 6, 10, 13, 20, 21, 33, 38, 40, 41, 50, 51, 99]
+DOWNS = [None, 1, 2, 3, 4]
+DISTANCES = [None, 1, 2, 3, 5, 7, 9, 10, 12]
+YARDS = [None, 1, 5, 6, 10, 13, 20, 21, 33, 38, 40, 41, 50, 51, 99]
 
 
 def near(a, b):
