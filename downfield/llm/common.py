@@ -52,11 +52,16 @@ def running(df: DataFrame, group: list[str], order: list[Column], value: str) ->
             .drop("part", "held", "held_rows"))
 
 
-# Keys of rejected rows (16 bytes each) are sent to every executor up to this number, else joined by shuffle.
+# Small sides of joins are sent to every executor up to this number of rows, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 KEYS = ["__k1", "__k2"]
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def row_key() -> list[Column]:
     """128 bits that name a row by its doc_id and text; never null. Repeated rows share them."""
     return [F.xxhash64("doc_id", "text").alias(KEYS[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(KEYS[1])]
@@ -65,6 +70,5 @@ def row_key() -> list[Column]:
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is not in ``rejected`` (a written table of KEYS), all columns unchanged. Few keys
     are broadcast, so that the texts are not shuffled."""
-    small = rejected.count() <= BROADCAST_ROWS
     keyed = docs.withColumns(dict(zip(KEYS, row_key())))
-    return keyed.join(F.broadcast(rejected) if small else rejected, KEYS, "left_anti").drop(*KEYS)
+    return keyed.join(small(rejected), KEYS, "left_anti").drop(*KEYS)

@@ -18,43 +18,54 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), apart), "")
 
 
-def shingles(w: Column, length: int) -> Column:
-    """Hash of the ``length`` words from each place on; none if there are fewer."""
-    places = F.when(F.size(w) >= length, F.sequence(F.lit(0), F.size(w) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(length)]))
-
-
 def windows(benchmark: DataFrame, window: int) -> DataFrame:
     """(win, item_id, n, k, grams): the windows of all items, named by their words; n words in shingles of k words."""
     items = (benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
              .withColumn("n", F.least(F.size("w"), F.lit(window))))
     places = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
     wide = items.select("item_id", "n", F.explode(F.transform(places, lambda i: F.slice("w", i, F.col("n")))).alias("w"))
-    grams = F.when(F.col("n") == 1, shingles(F.col("w"), 1))
-    for k in range(2, SHINGLE):
-        grams = grams.when(F.col("n") == k, shingles(F.col("w"), k))
-    return wide.select(F.xxhash64("w").alias("win"), "item_id", "n", F.least("n", F.lit(SHINGLE)).alias("k"),
-                       grams.otherwise(shingles(F.col("w"), SHINGLE)).alias("grams"))
+    wide = wide.withColumn("k", F.least("n", F.lit(SHINGLE)))
+    starts = F.sequence(F.lit(0), F.col("n") - F.col("k"))
+
+    def grams_of(k: int) -> Column:
+        return F.transform(starts, lambda i: gram([F.get(F.col("w"), i + j) for j in range(k)]))
+
+    grams = [grams_of(k) for k in range(1, SHINGLE + 1)]
+    chosen = F.when(F.col("k") == 1, grams[0])
+    for k in range(2, SHINGLE + 1):
+        chosen = chosen.when(F.col("k") == k, grams[k - 1])
+    return wide.select(F.xxhash64("w").alias("win"), "item_id", "n", "k", chosen.alias("grams"))
 
 
-def _entry(k: int):
-    return lambda gram, place: F.struct(F.lit(k).alias("k"), place.alias("place"), gram.alias("gram"))
+def gram(shingle: list[Column]) -> Column:
+    return F.xxhash64(F.lit(len(shingle)), *shingle)
 
 
 def benchmark_hits(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """(doc_id, keys, n_words, k, place, gram): every shingle of the texts that also occurs in a window, found in one
-    pass. One row of k 0 for each row of ``docs`` carries its number of words."""
-    known = wins.select("k", F.explode("grams").alias("gram")).distinct()
-    lengths = sorted(r["k"] for r in wins.select("k").distinct().collect())
-    every = [F.array(_entry(0)(F.lit(0).cast("long"), F.lit(0)))]
-    every += [F.transform(shingles(F.col("w"), k), _entry(k)) for k in lengths]
-    known = known.union(known.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram")))
+    """(doc_id, keys, n_words, place, gram, hit, own): every shingle of the texts that also occurs in a window is a hit, found
+    in one pass. The one row that is ``own`` of each row of ``docs`` carries its number of words, hit or not."""
+    known = wins.select(F.explode("grams").alias("known")).distinct()
+    lengths = sorted(r["k"] for r in wins.select("k").distinct().collect()) or [SHINGLE]
     if known.count() <= BROADCAST_SHINGLES:
         known = F.broadcast(known)
-    return (docs.select("doc_id", *row_key(), words(F.col("text")).alias("w"))
-            .select("doc_id", *KEYS, F.size("w").alias("n_words"), F.explode(F.concat(*every)).alias("e"))
-            .select("doc_id", *KEYS, "n_words", "e.k", "e.place", "e.gram")
-            .join(known, ["k", "gram"], "left_semi"))
+    # Each word beside those that follow it; past the end there are none.
+    beside = F.arrays_zip(*[F.slice("w", j + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{j}") for j in range(max(lengths))])
+    placed = (docs.select("doc_id", *row_key(), words(F.col("text")).alias("w"))
+              .select("doc_id", *KEYS, F.size("w").alias("n_words"), F.posexplode_outer(beside).alias("at", "x"))
+              .withColumn("place", F.coalesce("at", F.lit(0))))
+    own = F.col("place") == 0
+    if len(lengths) == 1:
+        k = lengths[0]
+        grams = placed.select("doc_id", *KEYS, "n_words", "place", F.lit(k).alias("k"), gram([F.col(f"x.w{j}") for j in range(k)]).alias("gram"))
+    else:
+        each = F.array(*[F.struct(F.lit(k).alias("k"), gram([F.col(f"x.w{j}") for j in range(k)]).alias("gram")) for k in lengths])
+        grams = placed.select("doc_id", *KEYS, "n_words", "place", F.explode(each).alias("y")).select(
+            "doc_id", *KEYS, "n_words", "place", "y.k", "y.gram")
+        own = own & (F.col("k") == lengths[0])
+    whole = F.col("place") + F.col("k") <= F.col("n_words")
+    return (grams.join(known, F.col("gram") == F.col("known"), "left")
+            .withColumn("hit", F.col("known").isNotNull() & whole).withColumn("own", own)
+            .where("hit or own").drop("known", "k"))
 
 
 def occurrences(seen: DataFrame, wins: DataFrame) -> DataFrame:
@@ -65,27 +76,26 @@ def occurrences(seen: DataFrame, wins: DataFrame) -> DataFrame:
     leave room on both sides (positional and length bounds). A candidate holds if shingles that together cover the
     window lie at their places, which is exact containment. A window with a shingle of no document has no candidate."""
     distinct = wins.select("win", "n", "k", "grams").dropDuplicates(["win"])
-    counts = seen.where("k > 0").groupBy("k", "gram").agg(F.count("*").alias("held"))
-    spread = distinct.select("win", "n", "k", F.size("grams").alias("m"), F.posexplode("grams").alias("q", "gram"))
-    prefix = (spread.join(counts, ["k", "gram"]).groupBy("win", "n", "k", "m")
+    places = seen.where("hit").select(*KEYS, "n_words", "place", "gram")
+    counts = places.groupBy("gram").agg(F.count("*").alias("held"))
+    spread = distinct.select("win", F.size("grams").alias("m"), F.posexplode("grams").alias("q", "gram"))
+    prefix = (spread.join(counts, "gram").groupBy("win", "m")
               .agg(F.count("*").alias("found"), F.min(F.struct("held", "q", "gram")).alias("rarest"))
-              .where("found = m").select("win", "n", "k", "rarest.q", "rarest.gram"))
-    prefix = materialise(prefix.join(distinct.select("win", "grams"), "win"))
+              .where("found = m").select("win", "rarest.q", "rarest.gram"))
+    prefix = materialise(prefix.join(distinct, "win"))
     if prefix.count() <= BROADCAST_SHINGLES // WINDOW:
         prefix = F.broadcast(prefix)
-    places = seen.where("k > 0").select(*KEYS, "n_words", "k", "place", "gram")
-    start = F.col("place") - F.col("q")
-    candidates = (places.join(prefix, ["k", "gram"]).withColumn("start", start)
+    candidates = (places.join(prefix, "gram").withColumn("start", F.col("place") - F.col("q"))
                   .where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))))
     # Every k-th shingle and the last one cover all words.
     cover = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("n") - F.col("k"), F.col("k")),
                                       F.array(F.col("n") - F.col("k"))))
     asked = (candidates.withColumn("cover", cover)
-             .select(*KEYS, "win", "start", "n", "k", F.size("cover").alias("m"), "grams", F.posexplode("cover").alias("j", "at"))
-             .select(*KEYS, "win", "start", "n", "k", "m", "j", (F.col("start") + F.col("at")).alias("place"),
+             .select(*KEYS, "win", "start", "n", F.size("cover").alias("m"), "grams", F.posexplode("cover").alias("j", "at"))
+             .select(*KEYS, "win", "start", "n", "m", "j", (F.col("start") + F.col("at")).alias("place"),
                      F.get("grams", F.col("at")).alias("gram")))
-    there = places.select(*KEYS, "k", "place", "gram")
-    return (asked.join(there, [*KEYS, "k", "place", "gram"]).groupBy(*KEYS, "win", "start", "n", "m")
+    there = places.select(*KEYS, "place", "gram")
+    return (asked.join(there, [*KEYS, "place", "gram"]).groupBy(*KEYS, "win", "start", "n", "m")
             .agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
             .where(F.bit_count("bits") == F.col("m")).select(*KEYS, "win", "start", "n"))
 
@@ -107,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = (found.select(*KEYS, "win").distinct().join(wins.select("win", "item_id").distinct(), "win")
              .groupBy(*KEYS).agg(F.collect_set(F.col("item_id").cast("string")).alias("items")))
     listed = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
-    return (seen.where("k = 0").select("doc_id", *KEYS, F.col("n_words").cast("long").alias("n_words"))
+    return (seen.where("own").select("doc_id", *KEYS, F.col("n_words").cast("long").alias("n_words"))
             .join(hit.join(items, KEYS), KEYS, "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.size(listed).cast("long").alias("n_items"),

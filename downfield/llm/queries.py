@@ -5,7 +5,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from downfield.llm import decontaminate, mixing, shards, simhash, toxicity
+from downfield.llm import (
+    decontaminate,
+    linedup,
+    mixing,
+    oracles,
+    quality,
+    secrets,
+    shards,
+    simhash,
+    toxicity,
+    urls,
+    warc,
+)
 from downfield.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +33,7 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query("op2_mixing")
+@query("op2_mixing", oracles.mixing_sql())
 def op2(spark, sf_dir):
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", "taken", F.col("copies").cast("long").alias("copies"),
@@ -45,7 +57,35 @@ def op7(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", oracles.decontamination_sql())
 def op8(spark, sf_dir):
     marked = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op1_quality", oracles.quality_sql())
+def op1(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_urls")
+def op3(spark, sf_dir):
+    labelled = spark.createDataFrame(urls.labelled_urls(), "url string, blocked int")
+    return urls.judge(table(spark, sf_dir, "pages"), labelled)
+
+
+@query("op6_secrets")
+def op6(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.labelled_findings(spark))
+
+
+@query("op9_warc")
+def op9(spark, sf_dir):
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op10_lines", oracles.line_runs_sql())
+def op10(spark, sf_dir):
+    cleaned = linedup.clean(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "words_dropped", F.md5("text").alias("text_md5"))
