@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
 # Bounds of the labelled rows a model is fitted on; scoring covers every row.
-MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
 DIMENSIONS = 1 << 20
 PREFIXES = (4, 5)
 MIN_DOCS, MIN_SIGMA = 5, 3.0
@@ -88,19 +88,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, ids) of the labelled rows to fit on: those the fold allows, at most ``MAX_POSITIVE`` toxic and
-    ``MAX_UNLABELLED`` others, by a hash of the id. A label that is null or twofold counts as not confirmed."""
+    """(positive, ids) of the labelled rows to fit on: of those the fold allows, by a hash of the id, at most ``MAX_POSITIVE``
+    confirmed toxic ones, and at most ``MAX_UNLABELLED`` of all, whose labels go unread. A null or twofold label
+    confirms nothing. ids are packed whole numbers of 4 bytes."""
     known = (labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.coalesce(F.min("toxic"), F.lit(0)).alias("toxic")))
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
-    chosen = (known.where("toxic = 1").orderBy(*order).limit(MAX_POSITIVE)
-              .union(known.where("toxic <> 1").orderBy(*order).limit(MAX_UNLABELLED)))
+    chosen = (known.where("toxic = 1").orderBy(*order).limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("positive"))
+              .union(known.orderBy(*order).limit(MAX_UNLABELLED).select("doc_id", F.lit(False))))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([term_ids(t) for t in texts])
+        return pd.Series([term_ids(t).tobytes() for t in texts])
 
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", ids("text").alias("ids"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "positive", ids("text").alias("ids")).groupBy("doc_id", "positive").agg(F.min("ids").alias("ids"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -112,9 +114,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     among all labels that the fold allows."""
     share = (labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .agg(F.avg(F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("double"))).first()[0])
-    rows = training_rows(docs, labels).collect()  # bounded by MAX_POSITIVE + MAX_UNLABELLED
-    rows.sort(key=lambda r: (r["doc_id"], len(r["ids"])))
-    sets = {t: [np.array(r["ids"], np.int32) for r in rows if (r["toxic"] == 1) == t] for t in (True, False)}
+    rows = training_rows(docs, labels).collect()  # at most MAX_POSITIVE + MAX_UNLABELLED labelled rows
+    rows.sort(key=lambda r: (r["doc_id"], r["ids"]))
+    sets = {kind: [np.frombuffer(r["ids"], np.int32) for r in rows if r["positive"] == kind] for kind in (True, False)}
     return fit(sets[True], sets[False], min(max(share or 0.01, 0.001), 0.5))
 
 
