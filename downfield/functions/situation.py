@@ -70,6 +70,11 @@ def goal_to_go(yards: Column, to_go: Column) -> Column:
     return flag(yards <= to_go)
 
 
+def in_red_zone(yards: Column) -> Column:
+    """The feed's own flag, a boolean."""
+    return yards <= 20
+
+
 def hurry_up(seconds: Column) -> Column:
     return flag(seconds < 120)
 

@@ -1,8 +1,8 @@
 """Boosted-tree models on Spark ML: training, evaluation, scoring.
 
-Tree counts, depths and rates default to the published settings; callers pass
-fewer trees for a quick run. Frames that several fits read are fixed in the
-shared folder first.
+Tree counts, depths and rates default to the published settings; the counts are
+upper bounds, since fitting stops when validation plays gain no more. Frames
+that several fits read are fixed in the shared folder first.
 """
 
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.util import inheritable_thread_target
 from downfield.constants import (CLASS_FEATURES, EP_FEATURES, PASS_LABELS, PRESSURE_FEATURES, RUN_LABELS,
                                  SCORING_FEATURES, SCORING_TARGETS)
 from downfield.models.metrics import accuracy, auc, classification_report, regression_metrics
-from downfield.operators.clean import coerce_columns
+from downfield.functions.clean import coerce_zero
 from downfield.operators.features import prepare_class, prepare_ep, prepare_pressure, prepare_scoring
 from downfield.operators.summary import class_weight
 from downfield.session import materialise, shared_dir
@@ -38,40 +38,67 @@ def split_point(keys: list[str], seed: int = SEED) -> Column:
 
 
 def with_split(df: DataFrame, keys: tuple[str, ...] = ("game_id", "play_id")) -> DataFrame:
-    """Mark 80 % of the plays for training. The mark is independent of the label,
-    so each label keeps that share, up to sampling."""
-    return df.withColumn("is_train", split_point(list(keys)) < TRAIN_SHARE)
+    """Mark 80 % of the plays for training, and the last tenth of those for validation. The marks are independent of the
+    label, so each label keeps its share, up to sampling."""
+    point = split_point(list(keys))
+    return df.withColumn("is_train", point < TRAIN_SHARE).withColumn(VALID, point >= TRAIN_SHARE * VALIDATION_SHARE)
 
 
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("is_train"), df.filter("not is_train")
 
 
+VALIDATION_SHARE = 0.9  # of the training share; the plays beyond it tell when to stop adding trees
+VALID = "is_validation"
+
+
 def _fit(df: DataFrame, columns: list[str], estimator) -> PipelineModel:
     shared_dir(df.sparkSession)  # long boosting runs cut their lineage there
     assembler = VectorAssembler(inputCols=columns, outputCol=VECTOR)
     return Pipeline(stages=[assembler, estimator]).fit(df)
 
 
-def _trees(kind, label: str, trees: int, depth: int, rate: float, **more):
+def _trees(kind, label: str, trees: int, depth: int, rate: float, stop: bool = True, **more):
+    """Boosted trees, at most ``trees`` of them. With ``stop`` fitting ends when the validation plays of the training side
+    gain no more from another tree."""
+    more |= {"validationIndicatorCol": VALID, "validationTol": 0.01} if stop else {}
     return kind(featuresCol=VECTOR, labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate,
                 seed=SEED, checkpointInterval=10, **more)
 
 
-def apply_model(model: PipelineModel, df: DataFrame, output: str, proba: bool = False) -> DataFrame:
-    """Add a model's prediction, or its chance of class 1, as a plain column.
+def with_vector(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add the feature vector; the columns it is made of stay as they are. Missing columns and values count as 0."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    values = [coerce_zero(c, kinds[c]) if c in kinds else F.lit(0.0) for c in columns]
+    return df.withColumn(VECTOR, array_to_vector(F.array(*values)))
 
-    Feature columns that are missing count as 0.
-    """
+
+def _apply(model: PipelineModel, df: DataFrame, output: str, proba: bool = False) -> DataFrame:
+    """Add one model's answer to a frame that has its vector."""
+    scored = model.stages[-1].transform(df)
+    value = vector_to_array("probability")[1] if proba else F.col("prediction")
+    made = [c for c in scored.columns if c not in df.columns]
+    return scored.withColumn("_value", value).drop(*made).withColumnRenamed("_value", output)
+
+
+def apply_model(model: PipelineModel, df: DataFrame, output: str, proba: bool = False) -> DataFrame:
+    """Add a model's prediction, or its chance of class 1, as a plain column; all others stay as they are."""
     if model is None:
         raise ValueError("Model not trained")
-    columns = model.stages[0].getInputCols()
-    filled = df.withColumns({c: F.lit(0.0) for c in columns if c not in df.columns})
-    scored = model.transform(coerce_columns(filled, columns).select(
-        *[c for c in df.columns if c not in columns], *columns))
-    value = vector_to_array("probability")[1] if proba else F.col("prediction")
-    drop = [c for c in (VECTOR, "rawPrediction", "probability", "prediction") if c in scored.columns]
-    return scored.withColumn("_value", value).drop(*drop).withColumnRenamed("_value", output)
+    return _apply(model, with_vector(df, model.stages[0].getInputCols()), output, proba).drop(VECTOR)
+
+
+def apply_models(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
+    """One column per model, by name. Models over the same features share one vector."""
+    columns = None
+    for name, model in models.items():
+        if model is None:
+            raise ValueError("Models not trained")
+        if model.stages[0].getInputCols() != columns:
+            columns = model.stages[0].getInputCols()
+            df = with_vector(df.drop(VECTOR), columns)
+        df = _apply(model, df, name)
+    return df.drop(VECTOR)
 
 
 def importance(model: PipelineModel, top: int = 10) -> DataFrame:
@@ -125,8 +152,7 @@ def score_outcomes(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame
     """All scoring outcomes as ``<target>_pred``, summing to 1 per play."""
     if not models:
         raise ValueError("Models not trained")
-    for target, model in models.items():
-        df = apply_model(model, df, f"{target}_pred")
+    df = apply_models({f"{target}_pred": model for target, model in models.items()}, df)
     return normalise(df, [f"{t}_pred" for t in models])
 
 
@@ -147,15 +173,14 @@ def _label_indexer() -> StringIndexerModel:
 def train_pass_type(train: DataFrame, trees: int = 400, depth: int = 7) -> PipelineModel:
     """Three pass kinds; Spark's boosted trees are binary, so one model per kind."""
     passes = _label_indexer().transform(train.filter("pass_type is not null"))
-    trees_of = _trees(GBTClassifier, "pass_index", trees, depth, 0.03)
-    return _fit(passes, CLASS_FEATURES,
-                OneVsRest(classifier=trees_of, featuresCol=VECTOR, labelCol="pass_index"))
+    trees_of = _trees(GBTClassifier, "pass_index", trees, depth, 0.03, stop=False)  # one-versus-rest hands on no marks
+    return _fit(passes, CLASS_FEATURES, OneVsRest(
+        classifier=trees_of, featuresCol=VECTOR, labelCol="pass_index", parallelism=len(PASS_LABELS)))
 
 
 def predict_class(models: dict[str, PipelineModel], df: DataFrame, output: str = "predicted_class") -> DataFrame:
     """Run or pass first, then the kind of it; all three models as columns."""
-    for stage in ("run_pass", "run_type", "pass_type"):
-        df = apply_model(models.get(stage), df, f"_{stage}")
+    df = apply_models({f"_{stage}": models.get(stage) for stage in ("run_pass", "run_type", "pass_type")}, df)
     thrown = F.get(F.array(*[F.lit(x) for x in PASS_LABELS]), F.col("_pass_type").cast("int"))
     run = F.when(F.col("_run_type") == 1, RUN_LABELS[1]).otherwise(RUN_LABELS[0])
     return (df.withColumn(output, F.when(F.col("_run_pass") == 1, thrown).otherwise(run))
@@ -172,16 +197,19 @@ def train_classifier(df: DataFrame, trees: tuple[int, int, int] = (300, 300, 400
 
 
 def train_pressure(df: DataFrame, trees: int = 500, depth: int = 4) -> tuple[PipelineModel, DataFrame]:
-    """Pressure classifier; pressured plays weigh as much as the others in total."""
+    """Pressure classifier; pressured plays weigh as much as the others in total. The report has a row per class
+    (precision, recall, F1, support) with accuracy and area under the ROC curve of all test plays."""
     train, test = train_test(materialise(with_split(prepare_pressure(df))))
     weight = class_weight(train, "pressure").first()["weight"] or 1.0
     weighted = train.withColumn("weight", F.when(F.col("pressure") == 1, weight).otherwise(1.0))
     model = _fit(weighted, PRESSURE_FEATURES, _trees(
         GBTClassifier, "pressure", trees, depth, 0.01, subsamplingRate=0.7, featureSubsetStrategy="0.7",
         minInstancesPerNode=5, minInfoGain=0.0, weightCol="weight"))
-    scored = materialise(apply_model(model, test, "chance", proba=True))
-    hit = scored.withColumn("hit", (F.col("chance") > 0.5).cast("int"))
-    return model, accuracy(hit, "pressure", "hit").withColumn("auc", F.lit(auc(scored, "pressure", "chance")))
+    scored = materialise(apply_model(model, test, "chance", proba=True).withColumn(
+        "hit", (F.col("chance") > 0.5).cast("int")))
+    share = accuracy(scored, "pressure", "hit").select("accuracy")
+    report = classification_report(scored, "pressure", "hit").crossJoin(F.broadcast(share))  # one row
+    return model, report.withColumn("auc", F.lit(auc(scored, "pressure", "chance")))
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -191,3 +219,26 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def save_set(spark: SparkSession, models: dict[str, PipelineModel], path: str, labels: dict[str, list[str]] | None = None) -> None:
+    """Models by name in folders below ``path``, with their order, features and, if given, label lists."""
+    for name, model in models.items():
+        save(model, f"{path}/{name}")
+    rows = [(i, name, list(m.stages[0].getInputCols()), (labels or {}).get(name)) for i, (name, m) in enumerate(models.items())]
+    (spark.createDataFrame(rows, "place int, name string, features array<string>, labels array<string>").coalesce(1)
+     .write.mode("overwrite").json(f"{path}/_set"))
+
+
+def load_set(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict[str, list[str]]]:
+    """The models of a set in their order, and their labels."""
+    rows = spark.read.schema("place int, name string, features array<string>, labels array<string>").json(
+        f"{path}/_set").orderBy("place").collect()
+    models = {r["name"]: load(f"{path}/{r['name']}") for r in rows}
+    for r in rows:
+        if list(models[r["name"]].stages[0].getInputCols()) != r["features"]:
+            raise ValueError(f"{path}: {r['name']} was saved with other features")
+    return models, {r["name"]: r["labels"] for r in rows if r["labels"]}
+
+
+CLASS_LABELS = {"run_pass": ["run", "pass"], "run_type": RUN_LABELS, "pass_type": PASS_LABELS}

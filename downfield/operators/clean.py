@@ -20,7 +20,8 @@ def typed_history(df: DataFrame) -> DataFrame:
         if name in doubles or name.endswith("_prob"):
             return number(name).alias(name)
         if name == "play_id":
-            return number(name).try_cast("bigint").alias(name)
+            # Whole first: a double would round ids beyond 53 bits. "1.0" is no whole number and takes the other way.
+            return F.coalesce(F.col(name).try_cast("bigint"), number(name).try_cast("bigint")).alias(name)
         return safe_int(name).alias(name)
 
     return df.select(*[typed(name) for name in df.columns])

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from downfield.functions import feed as f
 from downfield.operators.clean import play_defaults
 from downfield.operators.score import live_predictions
-from downfield.schema import EVENT_DOC, SUMMARY_DOC
+from downfield.schema import EVENT_DOC, RICH_RECORD, SUMMARY_DOC
+from downfield.sources.records import decode_records, good_records
 
 # What the feed does not tell about a play.
 UNTOLD = {"shotgun": 1, "no_huddle": 0, "defenders_in_box": 6, "number_of_pass_rushers": 4}
@@ -20,12 +21,17 @@ UNTOLD = {"shotgun": 1, "no_huddle": 0, "defenders_in_box": 6, "number_of_pass_r
 
 def parse_events(events: DataFrame) -> DataFrame:
     """(game_id, e, comp): the parsed event and its first competition."""
-    parsed = events.select("game_id", F.from_json("event", EVENT_DOC).alias("e"))
+    parsed = events.select("game_id", _once(F.from_json("event", EVENT_DOC)).alias("e"))
     return parsed.select("game_id", "e", f.competition(F.col("e")).alias("comp"))
 
 
 def parse_summaries(summaries: DataFrame) -> DataFrame:
-    return summaries.select("game_id", F.from_json("summary", SUMMARY_DOC).alias("s"))
+    return summaries.select("game_id", _once(F.from_json("summary", SUMMARY_DOC)).alias("s"))
+
+
+def _once(document: Column) -> Column:
+    """Exploding the one document keeps later filters and projections from parsing the text again."""
+    return F.explode(F.array(document))
 
 
 def live_only(events: DataFrame) -> DataFrame:
@@ -99,8 +105,18 @@ def rich_record(records: DataFrame) -> DataFrame:
 
 
 def live_records(events: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Scored records of the games under way, from the raw feed tables."""
-    return rich_record(playable(flatten_feed(live_only(events), summaries)))
+    """Scored records of the games under way, from the raw feed tables.
+
+    The games under way are few, the archive of summaries grows: it is cut to their ids before any of it is parsed.
+    """
+    live = live_only(events)
+    wanted = summaries.join(live.select("game_id").distinct(), "game_id", "left_semi")
+    return rich_record(playable(flatten_feed(live, wanted)))
+
+
+def decoded_records(values: DataFrame) -> DataFrame:
+    """Published records back from their JSON text, those that cannot be read left out, scored anew."""
+    return rich_record(playable(good_records(decode_records(values, RICH_RECORD))))
 
 
 def explode_plays(events: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -146,47 +162,69 @@ def parse_feed_play(plays: DataFrame, event_time: Column | None = None) -> DataF
 
 
 def poll_counters(events: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Games polled, games under way, and records that can be sent."""
+    """Games polled, games under way, and records that can be sent. Only summaries of games under way are read."""
+    state = events.select("game_id", (F.get_json_object("event", "$.status.type.state") == "in").alias("live"))
+    none = F.lit(0).cast("bigint")
+    polled = state.select(F.lit(1).cast("bigint").alias("games"), F.coalesce("live", F.lit(False)).cast("bigint").alias("live_games"),
+                          none.alias("plays_sent"))
     down = f.or_else(F.get_json_object("summary", "$.situation.down").try_cast("int"), 0)
-    live = F.get_json_object("event", "$.status.type.state") == "in"
-    games = events.select("game_id", live.alias("live")).join(
-        summaries.select("game_id", down.alias("down")), "game_id", "left")
-    return games.agg(F.count("*").alias("games"), F.count_if("live").alias("live_games"),
-                     F.count_if(F.col("live") & (F.col("down") > 0)).alias("plays_sent"))
+    sent = state.filter("live").join(summaries, "game_id").select(
+        none.alias("games"), none.alias("live_games"), (down > 0).cast("bigint").alias("plays_sent"))
+    return polled.unionByName(sent).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("games", "live_games", "plays_sent")])
+
+
+# Levels of the feed documents: (name, level above, key there, how its text holds the documents). Two of them are told
+# apart by a name inside: a statistic or a leader category counts as one key, its name.
+_ONE, _LIST, _NAMES = "one", "list", "names"
+EVENT_LEVELS = (
+    ("competition", "event", "competitions", _LIST), ("status", "event", "status", _ONE), ("status_type", "status", "type", _ONE),
+    ("competition_situation", "competition", "situation", _ONE), ("competitor", "competition", "competitors", _LIST),
+    ("team", "competitor", "team", _ONE), ("team_statistics", "competitor", "statistics", _NAMES),
+    ("team_leaders", "competitor", "leaders", _NAMES))
+SUMMARY_LEVELS = (
+    ("situation", "summary", "situation", _ONE), ("drives", "summary", "drives", _ONE), ("gameInfo", "summary", "gameInfo", _ONE),
+    ("predictor", "summary", "predictor", _ONE), ("boxscore", "summary", "boxscore", _ONE), ("drive", "drives", "previous", _LIST),
+    ("current_drive", "drives", "current", _ONE), ("play", "drive", "plays", _LIST), ("current_play", "current_drive", "plays", _LIST),
+    ("boxscore_player", "boxscore", "players", _LIST), ("player_statistics", "boxscore_player", "statistics", _NAMES),
+    ("leader_group", "summary", "leaders", _LIST), ("summary_leaders", "leader_group", "leaders", _NAMES),
+    ("scoring_play", "summary", "scoringPlays", _LIST))
 
 
 def json_key_profile(events: DataFrame, summaries: DataFrame) -> DataFrame:
-    """How many documents carry each key, level by level.
+    """How many documents carry each key, level by level, whichever item of a list carries it.
 
-    Every level is parsed as a map of raw sub-texts, so a fragment is read only
-    as deep as the next level needs, and counts combine before the shuffle.
+    A level is an array of maps of raw sub-texts, one for each item of all lists above it, so a fragment is read only as deep
+    as the next level needs. The distinct keys of a document's level are found in its own row; counts combine before
+    the shuffle.
     """
-    def keys(text: Column | str) -> Column:
-        return F.from_json(text, "map<string,string>")
-
-    def head(text: Column) -> Column:
-        return F.get(F.from_json(text, "array<string>"), F.lit(0))
-
-    def counted(df: DataFrame, levels: dict[str, Column]) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(name).alias("level"), F.map_keys(m).alias("keys"))
-                          for name, m in levels.items()])
+    def items(text: Column, kind: str) -> Column:
+        one = F.from_json(text, "map<string,string>")
+        if kind == _ONE:
+            return F.when(one.isNotNull(), F.array(one))
+        return F.transform(F.from_json(text, "array<string>"), lambda x: F.from_json(x, "map<string,string>"))
+
+    def keys(level: Column, kind: str) -> Column:
+        if kind == _NAMES:
+            found = F.transform(level, lambda m: m["name"])
+        else:
+            found = F.flatten(F.transform(level, lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))
+        return F.array_distinct(F.filter(found, lambda k: k.isNotNull()))
+
+    def counted(texts: DataFrame, column: str, levels) -> DataFrame:
+        df = texts.select(_once(items(F.col(column), _ONE)).alias(column))
+        kinds = {column: _ONE}
+        for name, above, key, kind in levels:
+            df = df.withColumn(name, _below(F.col(above), key, kind, items))
+            kinds[name] = kind
+        pairs = F.array(*[F.struct(F.lit(name).alias("level"), keys(F.col(name), kind).alias("keys")) for name, kind in kinds.items()])
         return (df.select(F.inline(pairs)).select("level", F.explode("keys").alias("key"))
                 .groupBy("level", "key").agg(F.count("*").alias("documents")))
 
-    m = F.col
-    event_maps = (events.select(keys("event").alias("event"))
-                  .withColumns({"competition": keys(head(m("event")["competitions"])),
-                                "status": keys(m("event")["status"])})
-                  .withColumns({"competitor": keys(head(m("competition")["competitors"])),
-                                "status_type": keys(m("status")["type"])})
-                  .withColumn("team", keys(m("competitor")["team"])))
-    summary_maps = (summaries.select(keys("summary").alias("summary"))
-                    .withColumns({"situation": keys(m("summary")["situation"]),
-                                  "drives": keys(m("summary")["drives"]),
-                                  "gameInfo": keys(m("summary")["gameInfo"]),
-                                  "predictor": keys(m("summary")["predictor"]),
-                                  "boxscore": keys(m("summary")["boxscore"])})
-                    .withColumn("drive", keys(head(m("drives")["previous"])))
-                    .withColumn("play", keys(head(m("drive")["plays"]))))
-    return (counted(event_maps, {n: m(n) for n in event_maps.columns})
-            .unionByName(counted(summary_maps, {n: m(n) for n in summary_maps.columns})))
+    return counted(events, "event", EVENT_LEVELS).unionByName(counted(summaries, "summary", SUMMARY_LEVELS))
+
+
+def _below(above: Column, key: str, kind: str, items) -> Column:
+    """The items that ``key`` holds in each map of a level, as one array without NULLs."""
+    none = F.array().cast("array<map<string,string>>")
+    each = F.transform(F.coalesce(above, none), lambda m: F.coalesce(items(m[key], kind), none))
+    return F.filter(F.flatten(each), lambda m: m.isNotNull())

@@ -9,14 +9,16 @@ from downfield.plans.play_queries import (CHAOS, ENRICHED, EP_BATCH, FEATURES_SQ
                                           NO_SCORE_BATCH, PASS_BATCH, PLAY_BATCH, RISK_BATCH, STREAM_PLAY,
                                           STREAM_PRESSURE, TD_BATCH)
 from downfield.plans.registry import query
-from downfield.schema import LIVE_PLAY, PLAY_EVENT
+from downfield.schema import LIVE_PLAY, PLAY_EVENT, TRACKING_FRAME
 from downfield.session import new_dir
 from downfield.sources import history, records, sinks
 from downfield.sources import testdata as data
 from downfield.streaming import jobs
 
-# Files a stream takes in per trigger: enough that a batch fills a large cluster.
-FILES_PER_TRIGGER = 10_000
+# Files a stream takes in per trigger. One staged file each, so that state, watermark and merges go through several
+# batches; a cluster takes as many files as fill it.
+FILES_PER_TRIGGER = 1
+CHUNK_ROWS = 20_000
 
 
 def run(started) -> None:
@@ -102,11 +104,15 @@ def q_write_features(spark, sf):
     return spark.read.parquet(path).select(*features.columns)
 
 
-@query("chunk_json", f"select game_id, play_id, qtr as quarter, epa {FROM_PLAYS} where play_type is not null")
+NUMBERED_SQL = f"""select game_id, play_id, (row_number() over (order by game_id, play_id) - 1) // {CHUNK_ROWS} as chunk
+ {FROM_PLAYS}"""
+
+
+@query("chunk_json", f"select * from ({NUMBERED_SQL}) c where chunk < 2")
 def q_chunk_json(spark, sf):
     path = new_dir(spark, "chunks")
-    sinks.chunk_json(play_event(data.history(spark, sf)), path, 20_000, "game_id", "play_id")
-    return spark.read.schema(PLAY_EVENT).json(path).select("game_id", "play_id", "quarter", "epa")
+    sinks.chunk_json(play_event(data.history(spark, sf)), path, CHUNK_ROWS, "game_id", "play_id", n_files=2)
+    return spark.read.schema(f"{PLAY_EVENT}, chunk bigint").json(path).select("game_id", "play_id", "chunk")
 
 
 SCORED = {"expected_points": EP_BATCH, "td_prob": TD_BATCH, "fg_prob": FG_BATCH, "no_score_prob": NO_SCORE_BATCH,
@@ -126,18 +132,17 @@ SCORED_SQL = f"""select game_id, timestamp, description, down, ydstogo, yardline
 def q_latest_snapshot(spark, sf):
     base = new_dir(spark, "snapshot")
     plays = data.live_plays(spark, sf).drop("play_id")
-    for version, part in enumerate(("qtr <= 2", "qtr > 2")):
-        sinks.merge_snapshot(score.score_batch(plays.filter(part)), base, version, "game_id",
-                             "timestamp", "description")
-    return sinks.read_latest(spark, base).select(*SCORED_COLUMNS)
+    for part in ("qtr = 2", "qtr = 1", "qtr > 2"):
+        sinks.merge_snapshot(score.score_batch(plays.filter(part)), base, jobs.SCORE_KEY, *jobs.SCORE_ORDER, compact_every=2)
+    return jobs.read_scores(spark, base).select(*SCORED_COLUMNS)
 
 
 @query("read_latest", f"{SCORED_SQL} {FROM_LIVE} where qtr > 2")
 def q_read_latest(spark, sf):
     base = new_dir(spark, "latest")
     plays = data.live_plays(spark, sf)
-    for version, part in enumerate(("qtr <= 2", "qtr > 2")):
-        sinks.publish_snapshot(score.score_batch(plays.filter(part)), base, version)
+    for part in ("qtr <= 2", "qtr > 2"):
+        sinks.publish_snapshot(score.score_batch(plays.filter(part)), base)
     return sinks.read_latest(spark, base).select(*SCORED_COLUMNS)
 
 
@@ -187,16 +192,17 @@ def q_stream_score(spark, sf):
     base = new_dir(spark, "scores")
     plays = jobs.read_from_files(spark, data.live_files(spark, sf), LIVE_PLAY, FILES_PER_TRIGGER)
     run(jobs.score_stream(plays, base, new_dir(spark, "ckpt"), every=None))
-    return sinks.read_latest(spark, base).select(*SCORED_COLUMNS)
+    return jobs.read_scores(spark, base).select(*SCORED_COLUMNS)
 
 
-@query("replay_plays", f"""select game_id, play_id, qtr as quarter, coalesce(down, 0) as down, epa {FROM_PLAYS}""")
+@query("replay_plays", f"select game_id, play_id, cast(chunk as integer) as batch from ({NUMBERED_SQL}) c")
 def q_replay_plays(spark, sf):
+    """Each staged chunk is one micro-batch, in play order."""
     source, path = new_dir(spark, "replay"), new_dir(spark, "replayed")
-    jobs.write_replay(play_event(data.history(spark, sf)), source)
-    plays = jobs.read_from_files(spark, source, max_files=FILES_PER_TRIGGER)
-    run(jobs.write_to_parquet(plays, path, new_dir(spark, "ckpt"), partition_by=None, every=None))
-    return spark.read.parquet(path).select("game_id", "play_id", "quarter", "down", "epa")
+    jobs.write_replay(play_event(data.history(spark, sf)), source, CHUNK_ROWS)
+    plays = jobs.read_from_files(spark, f"{source}/chunk=*", max_files=1)
+    run(jobs.write_batches(plays.select("game_id", "play_id"), path, new_dir(spark, "ckpt"), every=None))
+    return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------- tracking
@@ -223,12 +229,28 @@ TRACKED_EVENTS_SQL = f"""select *, cast(1 + k % 4 as integer) as quarter, cast(1
  cast(1 + c % 15 as integer) as ydstogo, cast(1 + c % 99 as integer) as yardline_100,
  case when k % 3 = 0 then 'run' else 'pass' end as play_type, cast(k % 2 as integer) as shotgun,
  cast(4 + c % 6 as integer) as defenders_in_box, cast(3 + c % 5 as integer) as number_of_pass_rushers,
- cast(k % 2 as integer) as was_pressure, cast(c % 10 as double) as epa from ({data.TRACKED_PLAYS_SQL}) t"""
+ cast(k % 2 as integer) as was_pressure, cast(c % 10 as double) as epa, {data.OWN_TIME_SQL} as own_time
+ from ({data.TRACKED_PLAYS_SQL}) t"""
 
 
 @query("enriched_play", f"""select p.game_id, p.play_id, quarter, down, ydstogo, play_type,
- {STREAM_PLAY} as predicted_play_type, {STREAM_PRESSURE} as pressure_rate, n.time_to_throw, was_pressure,
+ {STREAM_PLAY} as predicted_play_type, {STREAM_PRESSURE} as pressure_rate, coalesce(n.time_to_throw, own_time) as time_to_throw, was_pressure,
  defenders_in_box, n.nearest_defender_dist, n.qb_pocket_location, cast({CHAOS} as double) as chaos_score, epa
  from ({TRACKED_EVENTS_SQL}) p left join ({NEAREST_SQL}) n on p.game_id = n.game_id and p.play_id = n.play_id""")
 def q_enriched_play(spark, sf):
     return tracking.enriched_plays(data.tracked_plays(spark, sf), data.tracking(spark, sf)).drop("processed_at")
+
+
+@query("stream_tracking", f"""select p.game_id, p.play_id, f.frame_id, f.x, f.y from ({data.TRACKED_PLAYS_SQL}) p
+ left join (select * from ({TRACKING_SQL}) t where position = 'QB') f on p.game_id = f.game_id and p.play_id = f.play_id""")
+def q_stream_tracking(spark, sf):
+    """Streamed plays joined with the streamed spots of their passers; plays without any come last."""
+    path, ckpt = new_dir(spark, "tracked"), new_dir(spark, "ckpt")
+    plays, frames = data.tracking_files(spark, sf)
+    # The second run continues the first: a far later play moves the watermark beyond all others.
+    for upto in ("now", "*"):
+        joined = jobs.join_tracking(jobs.read_from_files(spark, f"{plays}/{upto}", data.TRACKED_EVENT, None),
+                                    jobs.read_from_files(spark, f"{frames}/{upto}", TRACKING_FRAME, None))
+        kept = joined.select("game_id", "play_id", "frame_id", "x", "y")
+        run(jobs.write_to_parquet(kept, path, ckpt, partition_by=None, every=None))
+    return spark.read.parquet(path).filter(F.col("game_id") != data.LAST_GAME)

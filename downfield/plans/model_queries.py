@@ -1,25 +1,27 @@
 """Registered queries over models, splits and quality measures.
 
-Fits use a few shallow trees here; the training functions default to the full
-settings. Fitted results have no SQL equivalent and carry no oracle.
+Fits run with the published settings; their tree counts are upper bounds, as
+fitting stops early. What a fitted model must give whatever its trees look like
+is stated by the oracles: the test plays and labels, an answer for every one of
+them, and errors no worse than those of a constant.
 """
 
 from pyspark.sql import functions as F
 
-from downfield.constants import SCORING_TARGETS
+from downfield.constants import EP_FEATURES, SCORING_TARGETS
 from downfield.models import metrics, training
 from downfield.operators.features import prepare_class, prepare_ep, prepare_scoring
 from downfield.operators.score import score_batch
-from downfield.plans.play_queries import EP_BATCH, EP_SQL, FROM_PLAYS, KEYS, PASS_BATCH, PLAY_BATCH
+from downfield.plans.play_queries import (CLASS_FEATURES_SQL, EP_BATCH, EP_SQL, FROM_PLAYS, KEYS, PASS_BATCH, PLAY_BATCH,
+                                          PRESSURE_SQL)
 from downfield.plans.registry import query
 from downfield.session import new_dir
 from downfield.sources import testdata as data
 
-TREES, DEPTH = 3, 4
+TRAIN_SQL = "('0x' || substr(md5('42|' || game_id || '|' || play_id), 1, 8))::bigint / 4294967296e0 < 8e-1"
 
 
-@query("train_test_split", f"""select {KEYS},
- ('0x' || substr(md5('42|' || game_id || '|' || play_id), 1, 8))::bigint / 4294967296e0 < 8e-1 as is_train
+@query("train_test_split", f"""select {KEYS}, {TRAIN_SQL} as is_train
  from ({EP_SQL}) t""")
 def q_train_test_split(spark, sf):
     return training.with_split(prepare_ep(data.history(spark, sf))).select("game_id", "play_id", "is_train")
@@ -71,58 +73,100 @@ def q_scoring_normalise(spark, sf):
     return rows.select("game_id", "play_id", *[F.round(c, 9).alias(c) for c in SCORING_TARGETS])
 
 
-@query("ml_ep")
+def _ep_model(spark, sf) -> str:
+    """The expected-points model and its test figures, fitted once per session and saved."""
+    def write(path: str) -> None:
+        model, quality = training.train_ep(data.history(spark, sf))
+        training.save_set(spark, {"ep_pred": model}, f"{path}/models")
+        quality.write.parquet(f"{path}/quality")
+    return data.staged(spark, sf, "ep_model", write)
+
+
+def _no_worse_than_mean():
+    """Of test rows (n, rmse, r2); a constant target has no r2."""
+    return F.coalesce(F.col("r2") >= 0, F.col("rmse") < 1e-6).alias("no_worse_than_mean")
+
+
+@query("ml_ep", f"select count(*) as n, true as no_worse_than_mean from ({EP_SQL}) t where ep is not null and not {TRAIN_SQL}")
 def q_ml_ep(spark, sf):
-    return training.train_ep(data.history(spark, sf), TREES, DEPTH)[1]
+    quality = spark.read.parquet(f"{_ep_model(spark, sf)}/quality")
+    return quality.select("n", _no_worse_than_mean())
 
 
-@query("ml_scoring")
+@query("ml_scoring", f"""select unnest([{", ".join(f"'{t}'" for t in SCORING_TARGETS)}]) as target, n, true as no_worse_than_mean
+ from (select count(*) as n from ({EP_SQL}) t where td_prob is not null and not {TRAIN_SQL}) c""")
 def q_ml_scoring(spark, sf):
-    return training.train_scoring(data.history(spark, sf), TREES, DEPTH)[1]
+    quality = training.train_scoring(data.history(spark, sf))[1]
+    return quality.select("target", "n", _no_worse_than_mean())
 
 
-def _stage(spark, sf, fit, label: str, output: str):
-    """Quality of one stage of the classifier on the test plays."""
+def _stage(spark, sf, fit, label: str):
+    """One stage of the classifier on the test plays: per label their number, and how many got a valid answer."""
     plays = training.materialise(training.with_split(prepare_class(data.history(spark, sf))))
     train, test = training.train_test(plays.filter(f"{label} is not null"))
-    scored = training.apply_model(fit(train, TREES, DEPTH), test, output)
-    return scored
+    scored = training.apply_model(fit(train), test, "p")
+    return scored.groupBy(F.col(label).alias("label")).agg(
+        F.count("*").alias("support"), F.count_if(F.col("p").isin(0.0, 1.0, 2.0)).alias("answered"))
+
 
+def _stage_sql(label: str) -> str:
+    return f"""select {label} as label, count(*) as support, count(*) as answered from ({CLASS_FEATURES_SQL}) t
+ where {label} is not null and class_5 is not null and not {TRAIN_SQL} group by {label}"""
 
-@query("ml_runpass")
+
+@query("ml_runpass", _stage_sql("is_pass"))
 def q_ml_runpass(spark, sf):
-    return metrics.confusion(_stage(spark, sf, training.train_run_pass, "is_pass", "p"), "is_pass", "p")
+    return _stage(spark, sf, training.train_run_pass, "is_pass")
 
 
-@query("ml_runtype")
+@query("ml_runtype", _stage_sql("run_type"))
 def q_ml_runtype(spark, sf):
-    return metrics.confusion(_stage(spark, sf, training.train_run_type, "run_type", "p"), "run_type", "p")
+    return _stage(spark, sf, training.train_run_type, "run_type")
 
 
-@query("ml_passtype")
-def q_ml_passtype(spark, sf):
-    return metrics.confusion(_stage(spark, sf, training.train_pass_type, "pass_type", "p"), "pass_type", "p")
+# One-versus-rest passes no validation marks on, so the registered fits state their number of trees.
+PASS_TREES = 20
 
 
-@query("hier_predict")
-def q_hier_predict(spark, sf):
-    return training.train_classifier(data.history(spark, sf), (TREES,) * 3, (DEPTH,) * 3)[1]
+@query("ml_passtype", _stage_sql("pass_type"))
+def q_ml_passtype(spark, sf):
+    return _stage(spark, sf, lambda train: training.train_pass_type(train, PASS_TREES), "pass_type")
 
 
-@query("ml_pressure")
+@query("hier_predict", f"""select class_5 as class, count(*) as support, true as sound from ({CLASS_FEATURES_SQL}) t
+ where class_5 is not null and not {TRAIN_SQL} group by class_5""")
+def q_hier_predict(spark, sf):
+    """The three stages, saved as a set and loaded again, on the test plays."""
+    path = new_dir(spark, "classifier")
+    models, report = training.train_classifier(data.history(spark, sf), trees=(300, 300, PASS_TREES))
+    training.save_set(spark, models, path, training.CLASS_LABELS)
+    again, labels = training.load_set(spark, path)
+    plays = prepare_class(data.history(spark, sf))
+    same = (training.predict_class(again, plays).select("game_id", "play_id", "predicted_class")
+            .exceptAll(training.predict_class(models, plays).select("game_id", "play_id", "predicted_class")).isEmpty())
+    sound = F.col("f1").between(0, 1) & F.lit(same and labels == training.CLASS_LABELS)
+    return report.filter("support > 0").select("class", "support", sound.alias("sound"))
+
+
+@query("ml_pressure", f"""select pressure as class, count(*) as support, true as sound from ({PRESSURE_SQL}) t
+ where not {TRAIN_SQL} group by pressure""")
 def q_ml_pressure(spark, sf):
-    return training.train_pressure(data.history(spark, sf), TREES, DEPTH)[1]
+    report = training.train_pressure(data.history(spark, sf))[1]
+    sound = F.col("auc").between(0.5, 1) & F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)
+    return report.filter("support > 0").select(F.col("class").cast("int").alias("class"), "support", sound.alias("sound"))
 
 
-@query("ml_importance")
+@query("ml_importance", f"select 'yardline_100' as top, {len(EP_FEATURES)} as features, true as sums_to_one")
 def q_ml_importance(spark, sf):
-    return training.importance(training.train_ep(data.history(spark, sf), TREES, DEPTH)[0], 5)
+    model = training.load_set(spark, f"{_ep_model(spark, sf)}/models")[0]["ep_pred"]
+    rows = training.importance(model, len(EP_FEATURES))
+    return rows.agg(F.max_by("feature", "importance").alias("top"), F.count("*").cast("int").alias("features"),
+                    (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query("ml_score")
+@query("ml_score", f"select {KEYS}, down, ydstogo, ep, true as scored {FROM_PLAYS}")
 def q_ml_score(spark, sf):
-    """Every play scored by a model that was saved and loaded again."""
-    plays, path = data.history(spark, sf), new_dir(spark, "model")
-    training.save(training.train_ep(plays, TREES, DEPTH)[0], path)
-    return training.apply_model(training.load(path), plays, "ep_pred").select(
-        "game_id", "play_id", "ep", "ep_pred")
+    """Every play scored by a set that was saved and loaded again; its own columns stay as they were."""
+    models, _ = training.load_set(spark, f"{_ep_model(spark, sf)}/models")
+    return training.apply_models(models, data.history(spark, sf)).select(
+        "game_id", "play_id", "down", "ydstogo", "ep", F.col("ep_pred").isNotNull().alias("scored"))

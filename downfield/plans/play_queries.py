@@ -261,7 +261,7 @@ def q_goal_to_go(spark, sf):
 def q_feed_flags(spark, sf):
     return data.plays(spark, sf).select(
         "game_id", "play_id", situation.hurry_up(F.col("half_seconds_remaining")).alias("no_huddle"),
-        (F.col("yardline_100") <= 20).alias("is_red_zone"))
+        situation.in_red_zone(F.col("yardline_100")).alias("is_red_zone"))
 
 
 _CLOCK = "concat(cast(half_seconds_remaining // 60 as varchar), ':', lpad(cast(half_seconds_remaining % 60 as varchar), 2, '0'))"
@@ -274,16 +274,14 @@ _CLOCK = "concat(cast(half_seconds_remaining // 60 as varchar), ':', lpad(cast(h
  posteam || ' ball' as possession {FROM_PLAYS}""")
 def q_clock_text(spark, sf):
     c = F.col
-    clock = text.clock(c("half_seconds_remaining"))
+    period, seconds, spot = c("qtr"), c("half_seconds_remaining"), (c("down"), c("ydstogo"))
     return data.plays(spark, sf).select(
-        "game_id", "play_id", clock.alias("clock"),
-        F.concat(F.lit("Q"), "qtr", F.lit(" - "), clock).alias("detail"),
-        F.concat(F.lit("Q"), "qtr", F.lit(" "), clock).alias("short_detail"),
-        text.down_and_distance(c("down"), c("ydstogo")).alias("short_down_distance"),
-        text.field_position(c("down"), c("ydstogo"), c("posteam"), c("yardline_100")).alias("down_distance"),
-        F.concat(text.down_and_distance(c("down"), c("ydstogo"), " & "), F.lit(" at "),
-                 (100 - c("yardline_100")).cast("string")).alias("spaced_down_distance"),
-        F.concat("posteam", F.lit(" ball")).alias("possession"))
+        "game_id", "play_id", text.clock(seconds).alias("clock"), text.period_clock(period, seconds).alias("detail"),
+        text.period_clock(period, seconds, " ").alias("short_detail"),
+        text.down_and_distance(*spot).alias("short_down_distance"),
+        text.field_position(*spot, c("posteam"), c("yardline_100")).alias("down_distance"),
+        text.own_yard_line(*spot, c("yardline_100")).alias("spaced_down_distance"),
+        text.possession(c("posteam")).alias("possession"))
 
 
 @query("stat_value", f"""select {KEYS}, partkey * 3 as leading, partkey % 500 as attempts_leading,

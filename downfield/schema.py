@@ -95,3 +95,39 @@ SUMMARY_DOC = one_line(f"""
     drives struct<previous:array<struct<id:string, plays:array<{_PLAY}>>>,
         current:struct<id:string, plays:array<{_PLAY}>>>
 """)
+
+# The published record of a game, without the predictions, which are made anew on reading.
+_LEADER = """struct<name:string, shortName:string, displayName:string, headshot:string, jersey:string, position:string,
+    teamId:string, playerId:string, displayValue:string, value:double, active:boolean>"""
+_TOP = f"struct<passing:{_LEADER}, rushing:{_LEADER}, receiving:{_LEADER}>"
+_TEAM = f"""struct<id:string, uid:string, abbreviation:string, name:string, displayName:string,
+    shortDisplayName:string, color:string, alternateColor:string, logo:string, score:int, winner:boolean,
+    homeAway:string, records:struct<overall:string, home:string, away:string>, record:string, leaders:{_TOP}>"""
+RICH_RECORD = one_line(f"""
+    game_id string, event_uid string, timestamp string, source string,
+    status struct<state:string, detail:string, shortDetail:string, description:string, period:int,
+        displayClock:string, completed:boolean>,
+    situation struct<down:int, distance:int, ydstogo:int, yardLine:int, yardline_100:int, possession:string,
+        isRedZone:boolean, downDistanceText:string, shortDownDistanceText:string, possessionText:string>,
+    down int, ydstogo int, yardline_100 int, qtr int, half_seconds_remaining int, score_differential int,
+    posteam string, defteam string, posteam_type string, goal_to_go int, shotgun int, no_huddle int,
+    defenders_in_box int, number_of_pass_rushers int, home_team string, home_team_full {_TEAM}, home_score int,
+    away_team string, away_team_full {_TEAM}, away_score int, gameLeaders {_TOP},
+    weather struct<temperature:int, displayValue:string, conditionId:string, highTemperature:int, gust:int, link:string>,
+    venue struct<id:string, name:string, shortName:string, city:string, state:string, country:string,
+        indoor:boolean, grass:boolean, capacity:bigint>,
+    odds struct<provider:string, providerId:string, details:string, spread:double, overUnder:double,
+        moneyline:struct<home:string, away:string, homeOpen:string, awayOpen:string>,
+        pointSpread:struct<home:{_LINE}, away:{_LINE}>, total:struct<over:{_LINE}, under:{_LINE}>,
+        homeFavorite:boolean, awayFavorite:boolean, homeMoneyLine:string, awayMoneyLine:string>,
+    predictor struct<homeWinProbability:double, awayWinProbability:double>,
+    winProbabilityHistory array<struct<playId:string, homeWinPercentage:double, secondsLeft:int>>,
+    broadcasts array<string>,
+    geoBroadcasts array<struct<type:string, market:string, media:string, lang:string, region:string>>,
+    tickets struct<summary:string, numberAvailable:bigint, link:string>,
+    links struct<gamecast:string, boxscore:string, playbyplay:string>,
+    gameInfo struct<attendance:bigint, weatherCondition:string, weatherTemp:int>,
+    lastPlay struct<id:string, text:string, type:string, scoreValue:int, team:string, athletesInvolved:array<string>>,
+    event struct<name:string, shortName:string, date:string, week:int, seasonType:int, seasonYear:int,
+        neutralSite:boolean, conferenceCompetition:boolean, attendance:bigint>
+""")

@@ -22,15 +22,29 @@ SETTINGS = {
 }
 
 
+def configured(builder: SparkSession.Builder, **extra: str) -> SparkSession.Builder:
+    """A session builder of any master with the engine's settings; ``extra`` goes over them."""
+    for key, value in {**SETTINGS, **extra}.items():
+        builder = builder.config(key, value)
+    return builder
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Put the settings into a session that is already there, such as a submitted job's. Those that only a new session
+    can take are left; ``configured`` has them all."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(app: str, cpus: str = "8", **extra: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.sql.shuffle.partitions", cpus)
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "16g"))
-    for key, value in {**SETTINGS, **extra}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return configured(builder, **extra).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,10 +71,30 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Tables written by ``materialise``, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. Later passes neither
     recompute it nor depend on the executors that made it, and still read only
-    the columns they need."""
-    path = new_dir(df.sparkSession, "table")
+    the columns they need. ``release`` removes such tables."""
+    spark = df.sparkSession
+    path = new_dir(spark, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the tables that ``materialise`` wrote, but for the first ``keep``. A frame read from one is of no use
+    afterwards, so call it when results have been written; ``held`` gives the number to keep."""
+    paths = _TABLES.get(spark.sparkContext.applicationId, [])
+    configuration = spark._jsparkSession.sessionState().newHadoopConf()
+    while len(paths) > keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(configuration).delete(path, True)
+
+
+def held(spark: SparkSession) -> int:
+    return len(_TABLES.get(spark.sparkContext.applicationId, []))

@@ -165,15 +165,15 @@ FEED_PLAY_COLUMNS = """
 """
 TRACKED_PLAYS_SQL = """
 select cast(o_custkey % 16 as varchar(10)) as game_id, o_orderkey as play_id,
- o_orderkey as k, o_custkey as c, cast(2 + o_orderkey % 3 as int) as n_frames
+ o_orderkey as k, o_custkey as c, cast(o_orderkey % 5 as int) as n_frames
 from orders
 """
-# Positions by arithmetic: player 0 is the passer, 1-4 share the team, 5-9 defend.
+# Positions by arithmetic: player 0 is the passer, 1-4 share the team, 5-9 defend, the last without a position.
 TRACKING_SQL_COLUMNS = """
  game_id, play_id, cast(frame as int) as frame_id,
  cast(player as varchar(10)) as player_id,
  case when player < 5 then concat('T', cast(c % 32 as varchar(10))) else concat('T', cast((c + 1) % 32 as varchar(10))) end as team,
- case when player = 0 then 'QB' when player < 5 then 'WR' else 'CB' end as position,
+ case when player = 0 then 'QB' when player < 5 then 'WR' when player < 9 then 'CB' end as position,
  cast((k * 3 + player * 17 + frame * (1 + player)) % 1200 as double) / 1e1 as x,
  cast((c * 7 + player * 29 + frame * (k % 40) * (2 - c % 4)) % 533 + 533 as double) / 2e1 as y,
  cast(player as double) as speed, cast(frame as double) as acceleration, cast(k % 360 as double) as direction
@@ -206,9 +206,8 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view_sql(spark, sf_dir, GAMES_SQL)
 
 
-def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracking frames at ten per second, a few per play."""
-    frames = (view_sql(spark, sf_dir, TRACKED_PLAYS_SQL)
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = (view_sql(spark, sf_dir, TRACKED_PLAYS_SQL).filter("n_frames > 0")
               .withColumn("frame", F.explode(F.sequence(F.lit(1), "n_frames")))
               .withColumn("player", F.explode(F.sequence(F.lit(0), F.lit(9)))))
     return spark.sql(f"""select {TRACKING_SQL_COLUMNS},
@@ -216,19 +215,49 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         from {{frames}}""", frames=frames)
 
 
+def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking frames at ten per second, up to four per play, as a recorder would have left them."""
+    path = staged(spark, sf_dir, "frames", lambda path: _frames(spark, sf_dir).write.parquet(path))
+    return spark.read.parquet(path)
+
+
+# A play's own time to throw; some have none.
+OWN_TIME_SQL = "case when k % 7 = 0 then null else cast(k % 50 as double) / 1e1 end"
+
+
 def tracked_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Play events for the tracked plays."""
+    """Play events for the tracked plays, in the event layout."""
     return view_sql(spark, sf_dir, TRACKED_PLAYS_SQL).selectExpr(
         "game_id", "play_id", "cast(1 + k % 4 as int) as quarter", "cast(1 + k % 4 as int) as down",
         "cast(1 + c % 15 as int) as ydstogo", "cast(1 + c % 99 as int) as yardline_100",
         "concat('T', c % 32) as posteam", "concat('T', (c + 1) % 32) as defteam",
         "if(k % 3 = 0, 'run', 'pass') as play_type", "cast(k % 2 as int) as shotgun",
-        "cast(0 as int) as no_huddle", "cast(4 + c % 6 as int) as defenders_in_box",
+        "cast(0 as int) as no_huddle", "'SHOTGUN' as offense_formation", "cast(4 + c % 6 as int) as defenders_in_box",
         "cast(3 + c % 5 as int) as number_of_pass_rushers", "cast(k % 2 as int) as was_pressure",
-        "cast(c % 10 as double) as epa",
+        f"{OWN_TIME_SQL} as time_to_throw", "cast(c % 10 as double) as epa",
         "timestamp_millis(1704067200000 + play_id * 10000) as event_time")
 
 
+TRACKED_EVENT = "game_id string, play_id bigint, event_time timestamp"
+LAST_GAME = "last"
+
+
+def tracking_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Folders of tracked plays and of their passers' frames as JSON lines: ``now`` holds all, ``end`` one play of a year
+    later."""
+    def write(path: str) -> None:
+        plays, frames = tracked_plays(spark, sf_dir), tracking(spark, sf_dir).filter("position = 'QB'")
+        plays.select("game_id", "play_id", "event_time").write.json(f"{path}/plays/now")
+        frames.write.json(f"{path}/frames/now")
+        later = F.make_timestamp(F.lit(2100), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        one = spark.range(1).select(F.lit(LAST_GAME).alias("game_id"), F.col("id").alias("play_id"), later.alias("event_time"))
+        one.write.json(f"{path}/plays/end")
+        one.withColumn("frame_id", F.lit(1)).write.json(f"{path}/frames/end")
+
+    path = staged(spark, sf_dir, "tracked", write)
+    return f"{path}/plays", f"{path}/frames"
+
+
 # Rows per staged file, so that many tasks can read what one task wrote.
 ROWS_PER_FILE = 20_000
 # Folders written so far, by session, source folder and name.
@@ -347,7 +376,11 @@ def _event() -> Column:
                     team("home").alias("team"), records.alias("records"), leaders.alias("leaders"))
     away = F.struct(F.lit("away").alias("homeAway"), c("away_score").alias("score"),
                     team("away").alias("team"), F.slice(records, 1, 0).alias("records"),
-                    F.slice(leaders, 1, 0).alias("leaders"))
+                    F.slice(leaders, 1, 0).alias("leaders"),
+                    F.array(F.struct(F.lit("totalYards").alias("name")),
+                            F.struct(F.when(c("k") % 2 == 0, "turnovers").alias("name"))).alias("statistics"))
+    # Both sides of a list have one type, in which the home side has no statistics.
+    home = home.withField("statistics", F.lit(None).cast("array<struct<name:string>>"))
     price = lambda o, cl: F.struct(F.struct(o.alias("odds")).alias("open"),
                                    F.struct(cl.alias("odds")).alias("close"))
     odds = F.struct(
@@ -377,7 +410,8 @@ def _event() -> Column:
             F.lit("from $90").alias("summary"), (c("c") % 5000).alias("numberAvailable"),
             _keep(c("has_ticket_link"), F.array(F.struct(F.concat(F.lit("t/"), "game_id").alias("href"))))
             .alias("links")))).alias("tickets"),
-        F.lit(False).alias("neutralSite"))
+        F.lit(False).alias("neutralSite"),
+        _keep(c("k") % 5 == 0, F.struct(F.lit("x").alias("lastPlay"))).alias("situation"))
     link = lambda rels, tail: F.struct(F.array(*[F.lit(r) for r in rels]).alias("rel"),
                                        F.concat(F.lit(tail), "game_id").alias("href"))
     links = F.filter(F.array(link(["summary", "desktop"], "g/"), _keep(c("has_boxscore_link"), link(["boxscore"], "b/")),
@@ -424,7 +458,21 @@ def _summary() -> Column:
             F.struct(c("home_projection").alias("gameProjection")).alias("homeTeam"),
             F.struct((100 - c("home_projection")).alias("gameProjection")).alias("awayTeam"))).alias("predictor"),
         _keep(c("n_wp") > 0, points).alias("winprobability"),
-        _keep(c("has_game_info"), game_info).alias("gameInfo"), drives.alias("drives"))
+        _keep(c("has_game_info"), game_info).alias("gameInfo"), drives.alias("drives"),
+        _keep(c("k") % 3 == 0, F.struct(F.array(_box(None), _box(F.when(c("k") % 2 == 0, "rushing"))).alias("players")))
+        .alias("boxscore"),
+        _keep(c("k") % 4 == 0, F.array(F.struct(F.lit("t").alias("team"), F.array(
+            F.struct(F.lit("receivingYards").alias("name"))).alias("leaders")))).alias("leaders"),
+        # Only the second scoring play has a text.
+        _keep(c("k") % 6 == 0, F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct(
+            i.alias("id"), F.when(i == 1, "touchdown").alias("text")))).alias("scoringPlays"))
+
+
+def _box(more: Column | None) -> Column:
+    """A team's part of the box score: passing, and what only one of the teams has."""
+    more = F.lit(None).cast("string") if more is None else more
+    return F.struct(F.lit("t").alias("team"), F.array(F.struct(F.lit("passing").alias("name")),
+                                                      F.struct(more.alias("name"))).alias("statistics"))
 
 
 def _drive(d: Column) -> Column:
@@ -445,7 +493,7 @@ def _drive(d: Column) -> Column:
                 ((c("c") + d + i) % 100).cast("int").alias("yardsToEndzone"),
                 F.when((c("c") + i) % 6 != 0, F.struct(
                     F.when(i % 2 == 0, c("home_id")).otherwise(c("away_id")).alias("id"))).alias("team"))
-            .alias("start"))
+            .alias("start"), F.when(i == 1, True).alias("second"))  # a key that only the second play of a drive has
 
     return F.struct(F.concat("game_id", F.lit("-"), d).alias("id"),
                     F.transform(F.slice(F.sequence(F.lit(0), F.lit(2)), F.lit(1), count), play).alias("plays"))

@@ -6,14 +6,14 @@ are the batch ones, applied to a streaming frame.
 
 from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from downfield.operators.score import enrich, enriched_output, score_batch
 from downfield.schema import PLAY_EVENT
-from downfield.sources.sinks import merge_snapshot, spread_sort
+from downfield.sources.records import to_keyed_json
+from downfield.sources.sinks import chunk_json, merge_snapshot, read_merged, set_times
 
 
 def read_from_files(spark: SparkSession, path: str, schema: str = PLAY_EVENT,
@@ -54,63 +54,87 @@ def enrich_stream(spark: SparkSession, source: str, path: str, checkpoint: str,
     return write_to_parquet(enriched_output(enrich(plays)), path, checkpoint, partition_by, every)
 
 
-def _first_copies(keys: list[str]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.table({**{k: batch.column(k) for k in keys}, "_row": pa.array(range(batch.num_rows))})
-            kept = rows.group_by(keys).aggregate([("_row", "min")])["_row_min"]
-            yield batch.take(kept.combine_chunks().sort())
-    return run
-
-
-def thin_copies(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop the copies within each Arrow batch, before anything is shuffled.
-
-    The streaming deduplication sends every row to its key's task. Thinned
-    first, a play sent very many times sends one row per batch of input.
-    """
-    return df.mapInArrow(_first_copies(keys), df.schema)
-
-
 def dedupe(df: DataFrame, keys: Iterable[str] = ("game_id", "play_id"), time: str | None = None,
            delay: str | None = None) -> DataFrame:
     """Let each play pass once.
 
     With ``time`` and ``delay`` a key is remembered for ``delay`` of event time,
     and a copy that comes later passes. Without them keys are kept for good, so
-    the state grows with the number of plays.
+    the state grows with the number of plays. Rows go to their key's task as they are: one more pass over all of them
+    costs more than the rare copies of a feed. For a feed that sends one play very many times at once see ``salted_dedupe``.
     """
-    keys = list(keys)
-    thinned = thin_copies(df, keys)
     if time and delay:
-        return thinned.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-    return thinned.dropDuplicates(keys)
+        return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return df.dropDuplicates(list(keys))
+
+
+def salted_dedupe(df: DataFrame, keys: Iterable[str] = ("game_id", "play_id"), time: str = "event_time",
+                  delay: str = "1 day", parts: int = 64) -> DataFrame:
+    """``dedupe`` in two steps for hot keys: copies are first thinned to one for each of ``parts`` shares of a key's rows,
+    by a hash of the whole row and the file it came in, and only those meet in the key's task."""
+    share = F.pmod(F.xxhash64(F.input_file_name(), *df.columns), F.lit(parts))
+    first = df.withWatermark(time, delay).withColumn("_share", share).dropDuplicatesWithinWatermark([*keys, "_share"])
+    return first.drop("_share").dropDuplicatesWithinWatermark(list(keys))
+
+
+def write_batches(df: DataFrame, path: str, checkpoint: str, every: str | None = "3 seconds") -> StreamingQuery:
+    """Parquet with the number of the micro-batch that brought each row, as ``batch``; a repeated batch replaces its own
+    folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, every).start()
+
+
+def write_keyed(df: DataFrame, path: str, checkpoint: str, key: str = "game_id",
+                every: str | None = "3 seconds") -> StreamingQuery:
+    """Keyed JSON records, (key, value) per line, as they come."""
+    writer = (to_keyed_json(df, key).writeStream.format("json").option("path", path)
+              .option("checkpointLocation", checkpoint).outputMode("append"))
+    return _trigger(writer, every).start()
+
+
+def write_topic(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str = "game_id",
+                every: str | None = "3 seconds") -> StreamingQuery:
+    """Keyed JSON records into a log, the counterpart of ``records.read_topic``. Needs the Kafka connector on the class path."""
+    writer = (to_keyed_json(df, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
+              .option("topic", topic).option("checkpointLocation", checkpoint))
+    return _trigger(writer, every).start()
+
+
+SCORE_KEY, SCORE_ORDER = "game_id", ("timestamp", "description")
 
 
 def score_stream(df: DataFrame, base: str, checkpoint: str, every: str | None = "3 seconds") -> StreamingQuery:
-    """Score each micro-batch and publish the newest scored play of every game."""
+    """Score each micro-batch and add the newest scored play of every game in it; ``read_scores`` gives the table."""
     def publish(batch: DataFrame, batch_id: int) -> None:
-        merge_snapshot(score_batch(batch), base, batch_id, "game_id", "timestamp", "description")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        merge_snapshot(score_batch(batch), base, SCORE_KEY, *SCORE_ORDER, tag=f"{query}-{batch_id}")
     writer = df.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
+def read_scores(spark: SparkSession, base: str) -> DataFrame | None:
+    return read_merged(spark, base, SCORE_KEY, *SCORE_ORDER)
+
+
 def write_replay(events: DataFrame, path: str, rows: int = 100_000) -> None:
-    """History as JSON files in play order, for ``read_from_files`` to replay."""
-    (spread_sort(events, "game_id", "play_id").write
-     .option("maxRecordsPerFile", rows).option("ignoreNullFields", False).json(path))
+    """History as JSON files in play order, for ``read_from_files`` on ``path/chunk=*`` to replay in that order."""
+    chunk_json(events, path, rows, "game_id", "play_id")
+    set_times(events.sparkSession, path)
 
 
 def join_tracking(plays: DataFrame, frames: DataFrame, delay: str = "1 minute",
-                  longest: str = "1 minute") -> DataFrame:
-    """Streamed plays with their streamed tracking frames.
+                  longest: str = "10 minutes") -> DataFrame:
+    """Streamed plays with their streamed tracking frames: a row per play and frame, and one row with NULLs for a play
+    without frames, once the watermark tells that none can follow.
 
     Frames of a play come within ``longest`` of its start, which bounds the
-    state on both sides.
+    state on both sides; later ones belong to no play.
     """
     p = plays.withWatermark("event_time", delay).withColumnRenamed("event_time", "play_time").alias("p")
     f = frames.withWatermark("event_time", delay).withColumnRenamed("event_time", "frame_time").alias("f")
     on = F.expr("p.game_id = f.game_id and p.play_id = f.play_id and f.frame_time >= p.play_time "
                 f"and f.frame_time <= p.play_time + interval {longest}")
     extra = [c for c in f.columns if c not in ("game_id", "play_id")]
-    return p.join(f, on, "inner").select("p.*", *[F.col(f"f.{c}") for c in extra])
+    return p.join(f, on, "left_outer").select("p.*", *[F.col(f"f.{c}") for c in extra])

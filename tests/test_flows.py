@@ -7,12 +7,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from downfield.operators import summary
+from downfield.operators import summary, tracking
 from downfield.operators.clean import play_event
 from downfield.operators.features import play_features
 from downfield.operators.score import enrich, enriched_output
 from downfield.plans.jobs import build_features
 from downfield.schema import LIVE_PLAY, PLAY_EVENT
+from downfield.session import materialise
 from downfield.sources import history, records, sinks
 from downfield.sources import testdata as data
 from downfield.streaming import jobs
@@ -62,62 +63,95 @@ def test_dedupe_across_batches(spark, tmp_path, delay, expected):
     assert spark.read.schema(schema).parquet(out).count() == expected
 
 
-def test_thin_copies_keeps_types_and_one_of_each(spark):
-    big = 2**60 + 1
-    df = spark.createDataFrame([("g", big, None), ("g", big, 1), ("g", None, 2), ("g", None, 3)] * 50,
-                               "game_id string, play_id bigint, n int").coalesce(1)
-    thin = jobs.thin_copies(df, ["game_id", "play_id"])
-    assert thin.schema == df.schema
-    assert {r.play_id for r in thin.collect()} == {big, None} and thin.count() == 2
+def test_salted_dedupe_keeps_one_of_each(spark, tmp_path):
+    from datetime import datetime as d
+    source, schema = str(tmp_path / "in"), "game_id string, play_id bigint, sent_at timestamp"
+    send(spark, source, "b", [("g", 1, d(2024, 1, 1, 0))] * 500 + [("g", i, d(2024, 1, 1, i % 5)) for i in range(9)])
+    plays = jobs.read_from_files(spark, f"{source}/*", schema, max_files=None)
+    kept = jobs.salted_dedupe(plays, time="sent_at", delay="2 days", parts=4)
+    jobs.write_to_parquet(kept, str(tmp_path / "o"), str(tmp_path / "c"), partition_by=None, every=None).awaitTermination()
+    assert sorted(r.play_id for r in spark.read.parquet(str(tmp_path / "o")).collect()) == list(range(9))
+
+
+def frame(spark, *r):
+    return spark.createDataFrame(list(r), "game_id string, timestamp string, down int")
+
+
+def merged(spark, base):
+    return rows(sinks.read_merged(spark, base, "game_id", "timestamp"))
 
 
 def test_snapshot_keeps_newest_play_and_survives_retry(spark, tmp_path):
     base = str(tmp_path / "snap")
-    frame = lambda *r: spark.createDataFrame(list(r), "game_id string, timestamp string, down int")
-    assert sinks.read_latest(spark, base) is None
-    sinks.merge_snapshot(frame(("a", "1", 1), ("b", "5", 2)), base, 0, "game_id", "timestamp")
+    assert sinks.read_merged(spark, base, "game_id", "timestamp") is None
+    sinks.merge_snapshot(frame(spark, ("a", "1", 1), ("b", "5", 2)), base, "game_id", "timestamp", tag="q-0")
     for _ in range(2):  # the second run stands for a retried batch
-        sinks.merge_snapshot(frame(("a", "3", 3), ("b", "4", 4)), base, 1, "game_id", "timestamp")
-    assert rows(sinks.read_latest(spark, base)) == rows(frame(("a", "3", 3), ("b", "5", 2)))
-    os.makedirs(f"{base}/version=000000000009")  # a write that has not finished
-    assert sinks.read_latest(spark, base).count() == 2
+        sinks.merge_snapshot(frame(spark, ("a", "3", 3), ("b", "4", 4)), base, "game_id", "timestamp", tag="q-1")
+    assert len(os.listdir(base)) == 2
+    assert merged(spark, base) == rows(frame(spark, ("a", "3", 3), ("b", "5", 2)))
+    os.makedirs(f"{base}/part=000000000009-delta-q-2")  # a write that has not finished
+    assert merged(spark, base) == rows(frame(spark, ("a", "3", 3), ("b", "5", 2)))
+    # A stream restarted on a new checkpoint counts its batches from 0 again; nothing of it is lost.
+    sinks.merge_snapshot(frame(spark, ("a", "9", 1)), base, "game_id", "timestamp", tag="r-0")
+    assert merged(spark, base) == rows(frame(spark, ("a", "9", 1), ("b", "5", 2)))
 
 
-def test_old_snapshots_go(spark, tmp_path):
+def test_a_small_batch_writes_a_small_part(spark, tmp_path):
+    base = str(tmp_path / "snap")
+    many = spark.range(5000).selectExpr("cast(id as string) as game_id", "'1' as timestamp", "1 as down")
+    sinks.merge_snapshot(many, base, "game_id", "timestamp")
+    sinks.merge_snapshot(frame(spark, ("7", "2", 2)), base, "game_id", "timestamp")
+    parts = sorted(os.listdir(base))
+    assert [spark.read.parquet(f"{base}/{p}").count() for p in parts] == [5000, 1]
+    assert sinks.read_merged(spark, base, "game_id", "timestamp").filter("down = 2").count() == 1
+
+
+def test_compaction_drops_only_what_is_replaced(spark, tmp_path):
+    base = str(tmp_path / "snap")
+    for i in range(7):
+        sinks.merge_snapshot(frame(spark, ("a", str(i), i), (f"g{i}", "0", 0)), base, "game_id", "timestamp",
+                             compact_every=2, keep_seconds=0)
+        assert sinks.read_merged(spark, base, "game_id", "timestamp").count() == i + 2
+    assert len(os.listdir(base)) < 8 and any("full" in p for p in os.listdir(base))
+
+
+def test_full_versions_follow_each_other(spark, tmp_path):
     base = str(tmp_path / "snap")
     for version in range(4):
-        sinks.publish_snapshot(spark.range(version), base, version, keep=2)
-    assert sorted(os.listdir(base)) == ["version=000000000002", "version=000000000003"]
+        sinks.publish_snapshot(spark.range(version), base)
     assert sinks.read_latest(spark, base).count() == 3
 
 
-def test_chunks_hold_the_first_plays_in_order(spark, sf, tmp_path):
+@pytest.mark.parametrize("n_files", [5, None])
+def test_chunks_hold_the_first_plays_in_order(spark, sf, tmp_path, n_files):
     path = str(tmp_path / "chunks")
     events = play_event(data.history(spark, sf)).select("game_id", "play_id")
-    sinks.chunk_json(events, path, 10, "game_id", "play_id", n_files=5)
-    files = lines(path)
-    want = [(r.game_id, r.play_id) for r in events.orderBy("game_id", "play_id").limit(50).collect()]
-    assert [len(f) for f in files] == [10] * 5
-    assert [(r["game_id"], r["play_id"]) for f in files for r in f] == want
+    sinks.chunk_json(events, path, 700, "game_id", "play_id", n_files=n_files)
+    files = [lines(f"{path}/chunk={i}") for i in range(len(glob.glob(f"{path}/chunk=*")))]
+    want = [(r.game_id, r.play_id) for r in events.orderBy("game_id", "play_id").collect()]
+    assert all(len(f) == 1 for f in files) and len(files) == (n_files or 9)
+    got = [(r["game_id"], r["play_id"]) for f in files for r in f[0]]
+    assert got == want[:len(got)] and len(got) == min(len(want), 700 * len(files))
 
 
-def test_replay_files_are_ordered_and_bounded(spark, sf, tmp_path):
+def test_replay_files_come_in_play_order(spark, sf, tmp_path):
     path = str(tmp_path / "replay")
     jobs.write_replay(play_event(data.history(spark, sf)), path, rows=500)
-    files = lines(path)
-    keys = [(r["game_id"], r["play_id"]) for f in files for r in f]
-    assert max(map(len, files)) <= 500 and len(keys) == 6000 and keys == sorted(keys)
+    names = glob.glob(f"{path}/chunk=*/part-*.json")
+    by_time = sorted(names, key=os.path.getmtime)
+    assert [int(n.split("chunk=")[1].split("/")[0]) for n in by_time] == list(range(12))
 
 
-def test_sort_splits_a_hot_key(spark):
-    """A key with most of the rows does not end up in one partition."""
-    df = spark.range(20_000).selectExpr("if(id % 10 = 0, id, 7) as key").repartition(4)
-    with_sizes = sinks.spread_sort(df, "key").groupBy(F.spark_partition_id().alias("p")).count()
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_numbering_splits_rows_that_are_all_alike(spark):
+    from downfield.operators.numbering import dealt, numbered
+    df = materialise(spark.range(20_000).selectExpr("if(id % 10 = 0, id, 7) as key").repartition(4))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows share a part
     try:
-        assert with_sizes.agg(F.max("count")).first()[0] < 8_000
+        assert dealt(df, [F.col("key")]).groupBy("part").count().agg(F.max("count")).first()[0] < 8_000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+    ranks = sorted((r.rank, r.key) for r in numbered(df, "key").collect())
+    assert [r for r, _ in ranks] == list(range(20_000)) and [k for _, k in ranks] == sorted(k for _, k in ranks)
 
 
 def test_csv_marks_and_layouts(spark, tmp_path):
@@ -174,22 +208,53 @@ def test_batch_job(spark, sf, tmp_path):
     assert rows(seasons) == rows(summary.season_stats(features))
     assert rows(teams) == rows(summary.team_rankings(features))
     before = rows(seasons)
-    _, after, _ = build_features(spark, [f"{files}/new"], out)  # replaces only the newer seasons
+    _, after, _ = build_features(spark, [f"{files}/new"], out, replace=False)  # replaces only the newer seasons
     assert rows(after) == before
+    counts, after, _ = build_features(spark, [f"{files}/new"], out)
+    assert sum(r.plays for r in after.collect()) == counts["features"] < features.count()
+
+
+def test_large_play_ids_survive_the_text_path(spark, tmp_path):
+    path = str(tmp_path / "x.csv")
+    with open(path, "w") as f:
+        f.write("game_id,play_id,season\ng,1152921504606846977,2023\ng,7.0,2023\n")
+    assert {r.play_id for r in history.load_seasons(spark, [path]).collect()} == {1152921504606846977, 7}
+
 
+def test_keyed_records_are_written(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("g", 1), (None, 2)], "game_id string, play_id bigint").write.json(source)
+    plays = jobs.read_from_files(spark, source, "game_id string, play_id bigint")
+    jobs.write_keyed(plays, str(tmp_path / "out"), str(tmp_path / "c"), every=None).awaitTermination()
+    got = spark.read.json(str(tmp_path / "out"))
+    assert sorted(r.key for r in got.collect()) == ["default", "g"]
+    assert sorted(json.loads(r.value)["play_id"] for r in got.collect()) == [1, 2]
 
-def test_stream_join_with_tracking(spark, tmp_path):
-    from downfield.schema import TRACKING_FRAME
-    plays = spark.createDataFrame([("g", 1, "2024-01-01 00:00:00"), ("g", 2, "2024-01-01 00:05:00")],
-                                  "game_id string, play_id bigint, t string").selectExpr(
-        "game_id", "play_id", "cast(t as timestamp) as event_time")
-    frames = plays.selectExpr("game_id", "play_id", "explode(sequence(1, 3)) as frame_id", "'p' as player_id",
-                              "event_time + make_interval(0,0,0,0,0,0,frame_id * 40) as event_time")
-    plays.write.json(str(tmp_path / "p"))
-    frames.write.json(str(tmp_path / "f"))
-    read = lambda n, s: spark.readStream.schema(s).json(str(tmp_path / n))
-    joined = jobs.join_tracking(read("p", "game_id string, play_id bigint, event_time timestamp"),
-                                read("f", TRACKING_FRAME))
-    jobs.write_to_parquet(joined, str(tmp_path / "o"), str(tmp_path / "c"), None, every=None).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "o"))
-    assert sorted((r.play_id, r.frame_id) for r in got.collect()) == [(1, 1), (2, 1)]
+
+def test_interval_trigger_and_console(spark, sf, tmp_path):
+    source = str(tmp_path / "in")
+    play_event(data.history(spark, sf).limit(5), F.lit("2024-01-01T00:00:00")).write.json(source)
+    plays = enrich(jobs.read_from_files(spark, source))
+    queries = [jobs.write_to_console(plays, every="1 second"),
+               jobs.write_to_parquet(plays, str(tmp_path / "out"), str(tmp_path / "c"), None, every="1 second")]
+    for q in queries:
+        q.processAllAvailable()
+        assert q.exception() is None and sum(p["numInputRows"] for p in q.recentProgress) == 5
+        q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).filter("processed_at is not null").count() == 5
+
+
+def test_defenders_without_a_position_count(spark):
+    frames = spark.createDataFrame(
+        [("g", 1, 1, "q", "A", "QB", 0.0, 0.0), ("g", 1, 1, "d", "B", None, 1.0, 0.0), ("g", 1, 1, "e", "B", "CB", 9.0, 0.0),
+         ("g", 1, 1, "e", "B", "CB", 9.0, 0.0), ("g", 2, 1, "d", "B", "CB", 1.0, 0.0)],
+        "game_id string, play_id bigint, frame_id int, player_id string, team string, position string, x double, y double",
+    ).withColumn("event_time", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    got = tracking.tracking_summary(frames).collect()
+    assert [(r.play_id, r.nearest_defender_dist, r.time_to_throw) for r in got] == [(1, 1.0, 0.0)]
+
+
+def test_enriched_plays_of_the_event_layout(spark, sf):
+    events = play_event(data.history(spark, sf).limit(20))
+    got = tracking.enriched_plays(events, data.tracking(spark, sf))
+    assert got.count() == 20 and got.filter("time_to_throw is null or processed_at is null").count() == 0

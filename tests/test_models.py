@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from downfield.constants import PASS_LABELS, RUN_LABELS, SCORING_TARGETS
 from downfield.models import metrics, training
 from downfield.operators.features import prepare_ep, scaled_features
-from downfield.session import shared_dir
+from downfield.session import SETTINGS, configure, held, materialise, release, shared_dir
 from downfield.sources import testdata as data
 
 
@@ -45,6 +45,21 @@ def test_scored_rows_are_all_rows(plays, ep):
     assert training.apply_model(ep[0], plays, "p").filter("p is not null").count() == plays.count()
 
 
+def test_scoring_leaves_the_input_alone(plays, ep):
+    scored = training.apply_model(ep[0], plays, "p")
+    assert scored.drop("p").schema == plays.schema
+    assert scored.filter("down is null").count() == plays.filter("down is null").count() > 0
+
+
+def test_sets_survive_saving(spark, plays, ep, tmp_path):
+    path = str(tmp_path / "set")
+    training.save_set(spark, {"b": ep[0], "a": ep[0]}, path, {"a": ["x", "y"]})
+    models, labels = training.load_set(spark, path)
+    assert list(models) == ["b", "a"] and labels == {"a": ["x", "y"]}
+    scored = training.apply_models({**models, "own": ep[0]}, plays)
+    assert scored.filter("a <> own or b <> own or a is null").count() == 0
+
+
 def test_outcomes_sum_to_one(plays):
     models, quality = training.train_scoring(plays, trees=2, depth=2, targets=SCORING_TARGETS[:4])
     assert {r.target for r in quality.collect()} == set(SCORING_TARGETS[:4])
@@ -74,8 +89,9 @@ def test_class_follows_the_three_stages(plays):
 
 def test_pressure_chances(plays):
     model, quality = training.train_pressure(plays, trees=3, depth=3)
-    row = quality.first()
-    assert 0.5 < row.auc <= 1.0 and 0 <= row.accuracy <= 1
+    assert {r["class"] for r in quality.collect()} == {0, 1}
+    for row in quality.collect():
+        assert 0.5 < row.auc <= 1.0 and 0 <= row.accuracy <= 1 and 0 <= row.f1 <= 1
     chances = training.apply_model(model, plays, "p", proba=True).agg(F.min("p"), F.max("p")).first()
     assert 0 <= chances[0] <= chances[1] <= 1
 
@@ -105,3 +121,21 @@ def test_scaled_features_are_centred(plays):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_settings_reach_any_session(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    configure(other)
+    assert {k: other.conf.get(k) for k in SETTINGS} == SETTINGS
+
+
+def test_release_removes_later_tables(spark):
+    before = held(spark)
+    kept = materialise(spark.range(3))
+    own = held(spark)
+    gone = materialise(spark.range(5))
+    release(spark, own)
+    assert kept.count() == 3 and held(spark) == own == before + 1
+    with pytest.raises(Exception):
+        gone.count()
