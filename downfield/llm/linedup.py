@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from downfield.llm.common import KEYS, n_words, row_key, running
+from downfield.llm.common import KEYS, n_words, row_key
+from downfield.operators.numbering import running
 from downfield.session import materialise
 
 # A repeated run counts if it has so many lines, or so many words in fewer lines.

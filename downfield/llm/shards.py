@@ -5,7 +5,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from downfield.llm.common import running
+
+from downfield.operators.numbering import running
 from downfield.session import materialise
 
 

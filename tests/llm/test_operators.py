@@ -13,7 +13,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from downfield.llm import decontaminate, linedup, mixing, quality, queries, secrets, shards, simhash, toxicity, urls, warc
-from downfield.llm.common import running, table
+from downfield.llm.common import table
+from downfield.operators.numbering import running
+from downfield.session import materialise
 
 PASSAGE = " ".join(f"mark{i}" for i in range(60))
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -63,7 +65,7 @@ def rows(df, *columns):
 
 def test_running_counts_every_row_of_a_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("g"), "id", (F.col("id") % 7).alias("v"))
-    got = running(df, ["g"], [F.col("id").desc()], "v").orderBy(F.col("id").desc()).collect()
+    got = running(materialise(df), ["g"], [F.col("id").desc()], "v").orderBy(F.col("id").desc()).collect()
     before, rank = Counter(), Counter()
     for r in got:
         assert (r["before"], r["rank"]) == (before[r["g"]], rank[r["g"]])
