@@ -14,7 +14,7 @@ SYMBOLS = "[#*$%&|<>]+"
 RULES = ("symbols", "capitals", "dup_lines", "repeats")
 CUTOFFS = (800, 600, 400, 300, 250, 200, 150, 125, 100, 75, 50, 30, 20, 10)
 # Of the good texts of a stratum at most RISK are rejected, all rules together, with confidence 1 - DOUBT for all strata at once.
-RISK, DOUBT = 0.04, 0.05
+RISK, DOUBT = 0.05, 0.05
 # A cutoff is worth having if it rejects more than so many bad texts for each good one.
 COST = 20
 BROADCAST_STRATA = 10_000
