@@ -125,3 +125,14 @@ kept as (select doc, string_agg(line, chr(10) order by place) as text from (sele
 select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, cast(coalesce(words_dropped, 0) as bigint) as words_dropped,
   md5(case when d.text is null then null else coalesce(kept.text, '') end) as text_md5
 from d left join seq using (doc) left join dropped using (doc) left join kept using (doc)"""
+
+
+def captures_sql() -> str:
+    """Base32 goes five hexadecimal digits at a time, which are four of its letters."""
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {b}) & 31) + 1, 1)" for b in (15, 10, 5, 0))
+    return f"""
+with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as sha from pages),
+d as (select *, max(page_id) over (partition by sha) as largest, array_to_string(list_transform(list_transform(range(0, 8),
+  lambda i: cast('0x' || substr(sha, cast(5 * i + 1 as integer), 5) as bigint)), lambda v: {letters}), '') as payload_digest from p)
+select page_id, payload_bytes, payload_digest, case when page_id is distinct from largest and largest is not null then 'revisit' else 'response' end
+  as record_type, case when page_id is distinct from largest then largest end as refers_to from d"""

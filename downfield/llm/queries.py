@@ -80,7 +80,7 @@ def op6(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.labelled_findings(spark))
 
 
-@query("op9_warc")
+@query("op9_warc", oracles.captures_sql())
 def op9(spark, sf_dir):
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 

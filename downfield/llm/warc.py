@@ -114,7 +114,7 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0) -> tuple[DataFrame,
                     if out is not None:
                         out.close()
                     path, offset = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{base}/{path}")
+                    out = fs.open_output_stream(f"{base}/{path}", compression=None)
                 page_id = None if pd.isna(page_id) else int(page_id)
                 target = None if pd.isna(refers_to) else int(refers_to)
                 payload = (html or "").encode("utf-8", "surrogatepass")
@@ -156,7 +156,7 @@ def index(records: DataFrame, root: str) -> DataFrame:
         def flush() -> tuple:
             nonlocal out, offset, held
             if out is None:
-                out = fs.open_output_stream(f"{base}/{path}")
+                out = fs.open_output_stream(f"{base}/{path}", compression=None)
             data = zlib.compress("\n".join(json.dumps(e) for e in held).encode())
             out.write(data)
             row = (held[0][0], held[-1][0], path, offset, len(data), len(held))
