@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from downfield.llm.common import small
 from downfield.session import materialise, new_dir
 
-# A task starts a new archive beyond so many compressed bytes, and an index block beyond so many entries.
-ARCHIVE_BYTES, BLOCK_ENTRIES = 256 << 20, 1000
+# A task starts a new archive beyond so many compressed bytes, and an index block beyond so many entries; one task reads
+# back the captures of so many blocks.
+ARCHIVE_BYTES, BLOCK_ENTRIES, BLOCKS_PER_TASK = 256 << 20, 1000, 4
 # Records that lie closer than this are read in one piece, up to the second figure.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
 RECORDS = "surt string, seq long, page_id long, file string, offset long, length long"
@@ -216,8 +217,9 @@ def read(directory: DataFrame, root: str) -> DataFrame:
                 found = [parsed(m) for m in _members(fs, base, _block(fs, base, b.file, int(b.offset), int(b.length)))]
                 yield _frame([tuple(r.values()) for r in found], PAGES)
 
-    spread = directory.repartition(F.xxhash64("file", "offset"))
-    return spread.mapInPandas(captures, PAGES)
+    # A row of the directory is small but stands for a block of records, so the number of tasks follows the rows.
+    tasks = max(1, -(-directory.count() // BLOCKS_PER_TASK))
+    return directory.repartition(tasks).mapInPandas(captures, PAGES)
 
 
 def lookup(directory: DataFrame, root: str, url: str) -> list[dict]:
