@@ -1 +1,8 @@
 """Corpus preparation: filters, near-duplicates, mixing, sharding and archives."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
