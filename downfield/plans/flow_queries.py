@@ -15,12 +15,18 @@ from downfield.sources import history, records, sinks
 from downfield.sources import testdata as data
 from downfield.streaming import jobs
 
-# Files a stream takes in per trigger. One staged file each, so that state, watermark and merges go through several
-# batches; a cluster takes as many files as fill it.
-FILES_PER_TRIGGER = 1
+# Micro-batches in which a stream takes in the staged files, so that state, watermark and merges go through several.
+BATCHES = 4
 CHUNK_ROWS = 20_000
 
 
+def _per_trigger(spark, path: str) -> int:
+    """Files per trigger that make about ``BATCHES`` batches of a folder."""
+    folder, fs = sinks.file_system(spark, path)
+    files = sum(s.getPath().getName().startswith("part-") for s in fs.listStatus(folder))
+    return max(1, -(-files // BATCHES))
+
+
 def run(started) -> None:
     started.awaitTermination()
 
@@ -152,7 +158,8 @@ def q_read_latest(spark, sf):
  coalesce(time_to_throw, 0) as time_to_throw, epa, {data.EVENT_TIME_SQL} as event_time {FROM_PLAYS}""")
 def q_stream_json(spark, sf):
     path = new_dir(spark, "plain")
-    plays = jobs.read_from_files(spark, data.event_files(spark, sf), max_files=FILES_PER_TRIGGER)
+    source = data.event_files(spark, sf)
+    plays = jobs.read_from_files(spark, source, max_files=_per_trigger(spark, source))
     run(jobs.write_to_parquet(plays, path, new_dir(spark, "ckpt"), partition_by=None, every=None))
     return spark.read.parquet(path).select("game_id", "play_id", "quarter", "down", "posteam", "time_to_throw",
                                            "epa", "event_time")
@@ -161,8 +168,9 @@ def q_stream_json(spark, sf):
 @query("stream_enrich", ENRICHED)
 def q_stream_enrich(spark, sf):
     path = new_dir(spark, "enriched")
-    run(jobs.enrich_stream(spark, data.event_files(spark, sf), path, new_dir(spark, "ckpt"),
-                           FILES_PER_TRIGGER, partition_by=None, every=None))
+    source = data.event_files(spark, sf)
+    run(jobs.enrich_stream(spark, source, path, new_dir(spark, "ckpt"),
+                           _per_trigger(spark, source), partition_by=None, every=None))
     return spark.read.parquet(path).drop("processed_at")
 
 
@@ -170,7 +178,8 @@ def q_stream_enrich(spark, sf):
 def q_stream_parquet(spark, sf):
     """By season rather than by game: games are far too many for a folder each."""
     path = new_dir(spark, "by_season")
-    plays = jobs.read_from_files(spark, data.event_files(spark, sf), max_files=FILES_PER_TRIGGER)
+    source = data.event_files(spark, sf)
+    plays = jobs.read_from_files(spark, source, max_files=_per_trigger(spark, source))
     enriched = score.enriched_output(score.enrich(plays))
     seasons = enriched.withColumn("season", F.split_part("game_id", F.lit("_"), F.lit(1)).cast("int"))
     run(jobs.write_to_parquet(seasons, path, new_dir(spark, "ckpt"), partition_by="season", every=None))
@@ -179,7 +188,8 @@ def q_stream_parquet(spark, sf):
 
 @query("stream_dedup", f"select distinct game_id, play_id {FROM_PLAYS}")
 def q_stream_dedup(spark, sf):
-    plays = jobs.read_from_files(spark, data.event_files(spark, sf), max_files=FILES_PER_TRIGGER)
+    source = data.event_files(spark, sf)
+    plays = jobs.read_from_files(spark, source, max_files=_per_trigger(spark, source))
     timed = plays.withColumn("sent_at", F.to_timestamp("event_time"))
     path = new_dir(spark, "deduped")
     run(jobs.write_to_parquet(jobs.dedupe(timed, time="sent_at", delay="60 days"), path, new_dir(spark, "ckpt"),
@@ -190,7 +200,8 @@ def q_stream_dedup(spark, sf):
 @query("stream_score", f"{SCORED_SQL} from ({NEWEST_SQL}) s")
 def q_stream_score(spark, sf):
     base = new_dir(spark, "scores")
-    plays = jobs.read_from_files(spark, data.live_files(spark, sf), LIVE_PLAY, FILES_PER_TRIGGER)
+    source = data.live_files(spark, sf)
+    plays = jobs.read_from_files(spark, source, LIVE_PLAY, _per_trigger(spark, source))
     run(jobs.score_stream(plays, base, new_dir(spark, "ckpt"), every=None))
     return jobs.read_scores(spark, base).select(*SCORED_COLUMNS)
 

@@ -113,3 +113,13 @@ def test_stat_value(spark):
     lines = [("299/474, 3398 YDS, 22 TD", 299), ("1,204 YDS", 1204), ("12 CAR", 12), ("none", None), (None, None)]
     df = spark.createDataFrame(lines, "t string, want int").select("want", text.stat_value(F.col("t")).alias("got"))
     assert all(r.want == r.got for r in df.collect())
+
+
+def test_team_dimension_literally(spark):
+    """The oracle reads the same constants as the engine; these few values are stated on their own."""
+    from downfield.operators.summary import teams
+    got = {r.abbr: (r.name, r.color, r.logo) for r in teams(spark).collect()}
+    assert len(got) == 32
+    assert got["KC"] == ("Kansas City Chiefs", "E31837", "https://a.espncdn.com/i/teamlogos/nfl/500/kc.png")
+    assert got["GB"][:2] == ("Green Bay Packers", "203731") and got["LV"][0] == "Las Vegas Raiders"
+    assert {"ARI", "NE", "SF", "WAS"} <= set(got)
