@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from downfield.llm.common import words
 from downfield.session import materialise
 
-# A candidate is a run of at least so many key characters within a word.
+# A candidate is a run of at least so many key characters anywhere within a word, with the padding that ends it.
 LEAST = 12
 KEY_CHARS = r"[A-Za-z0-9_+/\-]"
-CANDIDATE = rf"({KEY_CHARS}{{{LEAST},}}={{0,2}})[^A-Za-z0-9_+/=\-]*$"
-# A word of ordinary writing: letters only, or digits only.
+CANDIDATE = rf"({KEY_CHARS}{{{LEAST},}}+(?:={{1,2}}(?![A-Za-z0-9_+/=\-]))?)"
+# A word of ordinary writing: letters only, or digits only. Its runs count if issued as keys are or if a hint stands before.
 PLAIN = r"^[^0-9]*$|^[0-9.,:+()/\-]*$"
+ISSUED = r"^(A(KIA|SIA|ROA|IDA|GPA)[A-Z0-9]|AIza|gh[pousr]_|github_pat_|glpat-|npm_|pypi-|hf_|[rs]k_(live|test)_|sk-|xox[abeoprs]-|ya29|eyJ)"
+# Where a word is cut into settings, so that a hint counts for the runs of its own setting. No run goes beyond.
+SETTING_ENDS = r"(?<=[,;&?{}])"
 TREES, DEPTH, SEED = 30, 6, 7
 THRESHOLD = 0.5
 # A forest is fitted on at most so many labelled findings, by a hash of the finding.
@@ -33,8 +36,13 @@ FEATURES = ("length", "n_digits", "n_upper", "n_lower", "n_other", "transitions"
 
 def with_features(findings: DataFrame) -> DataFrame:
     """Add ``FEATURES`` to (candidate, word, before, after, path): the candidate, the word it stands in, the two words
-    before and the one after, and the path of the file or null."""
+    before and the one after, and the path of the file or null. ``head`` and ``tail`` are what stands around the candidate
+    in its word; without them they are cut from the word."""
     c = F.col("candidate")
+    if "head" not in findings.columns:
+        start = F.expr("instr(word, candidate)")
+        findings = findings.withColumns({"head": F.substring("word", F.lit(1), start - 1),
+                                         "tail": F.substring("word", start + F.length(c), F.length("word"))})
     size = F.length(c).cast("double")
 
     def count(pattern: str) -> Column:
@@ -44,7 +52,7 @@ def with_features(findings: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
         c, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "_")
     borders = F.length(kinds) - F.length(F.regexp_replace(kinds, r"(.)\1+", "$1"))
-    around = F.concat_ws(" ", "before", F.regexp_replace("word", CANDIDATE, ""))
+    around = F.concat_ws(" ", "before", "head")
     distinct = F.size(F.array_distinct(F.split(c, "")))
     values = {
         "length": size, "n_digits": count("[0-9]") / size, "n_upper": count("[A-Z]") / size, "n_lower": count("[a-z]") / size,
@@ -54,7 +62,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "dictionary": (F.length(c) - F.length(F.regexp_replace(F.lower(c), DICTIONARY, ""))) / size,
         "hex": F.rlike(c, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), "distinct": distinct / F.least(size, F.lit(32.0)),
         "hint": F.rlike(around, F.lit(HINTS)), "harmless": F.rlike(F.concat_ws(" ", around, "after", c), F.lit(HARMLESS)),
-        "assigned": F.rlike(around, F.lit(r"[=:]\s*[\"']?$")), "quoted": F.rlike(F.col("word"), F.lit(r"[\"'][^\"']+[\"']")),
+        "assigned": F.rlike(around, F.lit(r"[=:]\s*[\"']?$")), "quoted": F.rlike("head", F.lit(r"[\"']$")) & F.rlike("tail", F.lit(r"^[\"']")),
         "test_path": F.rlike(F.coalesce("path", F.lit("")), F.lit(TEST_PATH)),
     }
     return findings.select("*", *[values[f].cast("double").alias(f) for f in FEATURES])
@@ -116,30 +124,52 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, candidate, word, before, after, path): words of the whole texts with a long run of key characters
-    that is neither all letters nor all digits; place counts the words from 0."""
+    """(doc_id, place, offset, candidate, head, tail, before, after, path): every long run of key characters in the words of
+    the whole texts. Those of words of letters only or digits only count where they begin as issued keys do or a hint
+    stands before them. place counts the words from 0, offset the characters of the word before the run; head and tail are what stands
+    before and after it in its setting, a part of the word."""
     w = F.col("w")
     path = F.col("path") if "path" in docs.columns else F.lit(None).cast("string")
     split = docs.select("doc_id", path.alias("path"), words(F.col("text")).alias("w")).where(F.size(w) > 0)
-    long = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= LEAST) & ~F.rlike(
-        F.get(w, i), F.lit(PLAIN)) & F.rlike(F.get(w, i), F.lit(CANDIDATE)))
+    long = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= LEAST) & F.rlike(
+        F.get(w, i), F.lit(CANDIDATE)))
     found = F.transform(long, lambda i: F.struct(
         i.alias("place"), F.get(w, i).alias("word"),
         F.concat_ws(" ", F.when(i > 1, F.get(w, i - 2)), F.when(i > 0, F.get(w, i - 1))).alias("before"),
         F.coalesce(F.get(w, i + 1), F.lit("")).alias("after")))
-    return (split.select("doc_id", "path", F.explode(found).alias("x"))
-            .select("doc_id", "path", "x.*").withColumn("candidate", F.regexp_extract("word", CANDIDATE, 1)))
+    def before_each(sizes: Column, k: Column) -> Column:
+        return F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, b: a + b)
+
+    in_words = split.select("doc_id", "path", F.explode(found).alias("x")).select("doc_id", "path", "x.*").withColumn(
+        "parts", F.split("word", SETTING_ENDS, -1)).withColumn("sizes", F.transform("parts", F.length))
+    settings = F.filter(F.transform("parts", lambda part, k: F.struct(
+        before_each(F.col("sizes"), k).alias("start"), part.alias("part"))), lambda x: F.rlike(x["part"], F.lit(CANDIDATE)))
+    # A setting's gaps are one more than its runs; gap k stands before run k.
+    in_settings = in_words.select("doc_id", "path", "place", "before", "after", F.rlike("word", F.lit(PLAIN)).alias("plain"),
+                                  F.explode(settings).alias("x")).select(
+        "*", "x.*", F.regexp_extract_all("x.part", F.lit(CANDIDATE), F.lit(1)).alias("runs"),
+        F.split("x.part", CANDIDATE, -1).alias("gaps")).withColumn(
+        "sizes", F.zip_with("gaps", "runs", lambda gap, run: F.length(gap) + F.coalesce(F.length(run), F.lit(0))))
+    at = lambda k: before_each(F.col("sizes"), k) + F.length(F.get("gaps", k))
+    each = F.transform("runs", lambda run, k: F.struct(
+        (F.col("start") + at(k)).alias("offset"), run.alias("candidate"), F.substring("part", F.lit(1), at(k)).alias("head"),
+        F.get("gaps", k + 1).alias("tail")))
+    hinted = F.rlike(F.concat_ws(" ", "before", "head"), F.lit(HINTS))
+    return (in_settings.select("doc_id", "path", "place", "before", "after", "plain", F.explode(each).alias("y"))
+            .select("doc_id", "path", "place", "before", "after", "plain", "y.*")
+            .where(~F.col("plain") | F.rlike("candidate", F.lit(ISSUED)) | hinted).drop("plain"))
 
 
 def scan(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """One row per finding: doc_id, place, n_chars, sha256 of the candidate, score and secret (score of at least one half).
+    """One row per finding: doc_id, place, offset, n_chars, sha256 of the candidate, score and secret (score of at least one half).
 
     Null, empty and blank texts have no findings; repeated rows repeat theirs; a null doc_id is kept; other columns but
     ``path`` are ignored."""
     model = train(materialise(labelled))
-    found = materialise(with_features(candidates(docs)))
+    found = materialise(with_features(candidates(docs)).select("doc_id", "place", "offset", "candidate", *FEATURES))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
     scored = model.transform(vectors).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", F.col("place").cast("long").alias("place"), F.length("candidate").cast("long").alias("n_chars"),
+    return scored.select("doc_id", F.col("place").cast("long").alias("place"), F.col("offset").cast("long").alias("offset"),
+                         F.length("candidate").cast("long").alias("n_chars"),
                          F.sha2(F.col("candidate").cast("binary"), 256).alias("sha256"), "score",
                          (F.col("score") >= THRESHOLD).alias("secret"))
