@@ -1,8 +1,8 @@
 """Boosted-tree models on Spark ML: training, evaluation, scoring.
 
-Tree counts, depths and rates default to the published settings; the counts are
-upper bounds, since fitting stops when validation plays gain no more. Frames
-that several fits read are fixed in the shared folder first.
+Tree counts, depths and rates default to the published settings. All trees are
+fitted, on all training plays: the published fits stop at no validation figure.
+Frames that several fits read are fixed in the shared folder first.
 """
 
 from concurrent.futures import ThreadPoolExecutor
@@ -38,30 +38,23 @@ def split_point(keys: list[str], seed: int = SEED) -> Column:
 
 
 def with_split(df: DataFrame, keys: tuple[str, ...] = ("game_id", "play_id")) -> DataFrame:
-    """Mark 80 % of the plays for training, and the last tenth of those for validation. The marks are independent of the
-    label, so each label keeps its share, up to sampling."""
-    point = split_point(list(keys))
-    return df.withColumn("is_train", point < TRAIN_SHARE).withColumn(VALID, point >= TRAIN_SHARE * VALIDATION_SHARE)
+    """Mark 80 % of the plays for training. The marks are independent of the label, so each label keeps its share, up to
+    sampling."""
+    return df.withColumn("is_train", split_point(list(keys)) < TRAIN_SHARE)
 
 
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("is_train"), df.filter("not is_train")
 
 
-VALIDATION_SHARE = 0.9  # of the training share; the plays beyond it tell when to stop adding trees
-VALID = "is_validation"
-
-
 def _fit(df: DataFrame, columns: list[str], estimator) -> PipelineModel:
     shared_dir(df.sparkSession)  # long boosting runs cut their lineage there
     assembler = VectorAssembler(inputCols=columns, outputCol=VECTOR)
     return Pipeline(stages=[assembler, estimator]).fit(df)
 
 
-def _trees(kind, label: str, trees: int, depth: int, rate: float, stop: bool = True, **more):
-    """Boosted trees, at most ``trees`` of them. With ``stop`` fitting ends when the validation plays of the training side
-    gain no more from another tree."""
-    more |= {"validationIndicatorCol": VALID, "validationTol": 0.01} if stop else {}
+def _trees(kind, label: str, trees: int, depth: int, rate: float, **more):
+    """Boosted trees, ``trees`` of them."""
     return kind(featuresCol=VECTOR, labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate,
                 seed=SEED, checkpointInterval=10, **more)
 
@@ -173,7 +166,7 @@ def _label_indexer() -> StringIndexerModel:
 def train_pass_type(train: DataFrame, trees: int = 400, depth: int = 7) -> PipelineModel:
     """Three pass kinds; Spark's boosted trees are binary, so one model per kind."""
     passes = _label_indexer().transform(train.filter("pass_type is not null"))
-    trees_of = _trees(GBTClassifier, "pass_index", trees, depth, 0.03, stop=False)  # one-versus-rest hands on no marks
+    trees_of = _trees(GBTClassifier, "pass_index", trees, depth, 0.03)
     return _fit(passes, CLASS_FEATURES, OneVsRest(
         classifier=trees_of, featuresCol=VECTOR, labelCol="pass_index", parallelism=len(PASS_LABELS)))
 

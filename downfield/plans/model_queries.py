@@ -1,7 +1,6 @@
 """Registered queries over models, splits and quality measures.
 
-Fits run with the published settings; their tree counts are upper bounds, as
-fitting stops early. What a fitted model must give whatever its trees look like
+Fits run with the published settings and fit all their trees. What a fitted model must give whatever its trees look like
 is stated by the oracles: the test plays and labels, an answer for every one of
 them, and errors no worse than those of a constant.
 """

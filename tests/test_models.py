@@ -96,6 +96,14 @@ def test_pressure_chances(plays):
     assert 0 <= chances[0] <= chances[1] <= 1
 
 
+def test_all_trees_are_fitted(plays):
+    assert training.train_pressure(plays, trees=12, depth=2)[0].stages[-1].getNumTrees == 12
+    assert training.train_ep(plays, trees=30, depth=2)[0].stages[-1].getNumTrees == 30
+    train = training.train_test(training.materialise(training.with_split(training.prepare_class(plays))))[0]
+    assert training.train_run_pass(train, 12, 2).stages[-1].getNumTrees == 12
+    assert training.train_run_type(train, 12, 2).stages[-1].getNumTrees == 12
+
+
 def test_split_is_stable_and_keeps_copies_together(plays):
     split = training.with_split(prepare_ep(plays))
     sides = split.groupBy("game_id", "play_id").agg(F.count_distinct("is_train").alias("n"))
