@@ -123,13 +123,9 @@ def q_ml_runtype(spark, sf):
     return _stage(spark, sf, training.train_run_type, "run_type")
 
 
-# One-versus-rest passes no validation marks on, so the registered fits state their number of trees.
-PASS_TREES = 20
-
-
 @query("ml_passtype", _stage_sql("pass_type"))
 def q_ml_passtype(spark, sf):
-    return _stage(spark, sf, lambda train: training.train_pass_type(train, PASS_TREES), "pass_type")
+    return _stage(spark, sf, training.train_pass_type, "pass_type")
 
 
 @query("hier_predict", f"""select class_5 as class, count(*) as support, true as sound from ({CLASS_FEATURES_SQL}) t
@@ -137,7 +133,7 @@ def q_ml_passtype(spark, sf):
 def q_hier_predict(spark, sf):
     """The three stages, saved as a set and loaded again, on the test plays."""
     path = new_dir(spark, "classifier")
-    models, report = training.train_classifier(data.history(spark, sf), trees=(300, 300, PASS_TREES))
+    models, report = training.train_classifier(data.history(spark, sf))
     training.save_set(spark, models, path, training.CLASS_LABELS)
     again, labels = training.load_set(spark, path)
     plays = prepare_class(data.history(spark, sf))

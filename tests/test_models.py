@@ -104,6 +104,23 @@ def test_all_trees_are_fitted(plays):
     assert training.train_run_type(train, 12, 2).stages[-1].getNumTrees == 12
 
 
+def test_registered_pass_stages_ask_for_the_published_trees(spark, sf, monkeypatch):
+    from downfield.plans import model_queries
+    asked, fit = [], training._fit
+
+    def short(df, columns, estimator):
+        one = estimator.getClassifier() if hasattr(estimator, "getClassifier") else estimator
+        asked.append((one.getLabelCol(), one.getMaxIter(), one.getMaxDepth(), one.getStepSize()))
+        one.setMaxIter(1).setMaxDepth(1)
+        return fit(df, columns, estimator)
+
+    monkeypatch.setattr(training, "_fit", short)
+    model_queries.q_ml_passtype(spark, sf)
+    model_queries.q_hier_predict(spark, sf)
+    stage = ("pass_index", 400, 7, 0.03)
+    assert asked == [stage, ("is_pass", 300, 6, 0.05), ("is_outside", 300, 6, 0.05), stage]
+
+
 def test_split_is_stable_and_keeps_copies_together(plays):
     split = training.with_split(prepare_ep(plays))
     sides = split.groupBy("game_id", "play_id").agg(F.count_distinct("is_train").alias("n"))
