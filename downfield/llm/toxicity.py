@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
 # Bounds of the labelled rows a model is fitted on; scoring covers every row.
-MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
+MAX_POSITIVE, MAX_UNLABELLED = 4000, 12_000
 DIMENSIONS = 1 << 20
 PREFIXES = (4, 5)
 MIN_DOCS, MIN_SIGMA = 5, 3.0
@@ -55,15 +55,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return Model({}, float(np.log(prior / (1 - prior))), prior)
     docs, p, u = [*positive, *unlabelled], len(positive), len(unlabelled)
     flat = np.concatenate(docs)
-    row = np.repeat(np.arange(p + u), [len(d) for d in docs])
-    names, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(p + u, dtype=np.int32), [len(d) for d in docs])
+    # Places are few, so a table of them stands for sorting all ids, which takes several times their memory.
+    place = np.full(DIMENSIONS, -1, np.int32)
+    place[flat] = 0
+    names = np.flatnonzero(place == 0).astype(np.int32)
+    place[names] = np.arange(len(names))
+    column = place[flat]
+    del flat
     first = np.append(True, (row[1:] != row[:-1]) | (column[1:] != column[:-1]))  # ids are sorted in each text
-    held = np.bincount(column, first & (row < p), len(names)) / p
-    usual = np.bincount(column, first & (row >= p), len(names)) / u
+    held_in, usual_in = (np.bincount(column[first & side], minlength=len(names)) for side in (row < p, row >= p))
+    held, usual = held_in / p, usual_in / u
     error = np.sqrt(np.maximum(usual, 1 / u) * np.maximum(1 - usual, 1 / u) / p)
-    enough = np.bincount(column, first, len(names)) >= MIN_DOCS
+    enough = held_in + usual_in >= MIN_DOCS
     chosen = np.flatnonzero(enough & (np.abs(held - usual) >= MIN_SIGMA * error))
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     names, column = names[chosen], place[column]
     row, column = row[column >= 0], column[column >= 0]

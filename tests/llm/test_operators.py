@@ -450,6 +450,13 @@ def test_toxicity_rows_and_fold(spark, any_docs, sf):
     assert rows(toxicity.toxicity(any_docs.withColumn("lang", F.lit("xx")), flipped), "doc_id", "held_out", "score", "predicted") == first
 
 
+def test_toxicity_fits_on_up_to_16000_rows(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") < 6000).cast("int").alias("toxic"))
+    chosen = toxicity.training_rows(docs, labels)
+    assert rows(chosen.groupBy("positive").count(), "positive", "count") == Counter([(True, 4000), (False, 12_000)])
+
+
 def test_toxicity_without_labels(spark, hard):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.drop_toxic(hard, none).count() == len(HARD)
