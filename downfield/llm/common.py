@@ -33,18 +33,28 @@ BROADCAST_ROWS = 1_000_000
 KEYS = ["__k1", "__k2"]
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name`` with so many underscores before it that no column of ``frames`` has it, in whatever case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def row_key() -> list[Column]:
+def row_key(names: list[str] = KEYS) -> list[Column]:
     """128 bits that name a row by its doc_id and text; never null. Repeated rows share them."""
-    return [F.xxhash64("doc_id", "text").alias(KEYS[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(KEYS[1])]
+    return [F.xxhash64("doc_id", "text").alias(names[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(names[1])]
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is not in ``rejected`` (a written table of KEYS), all columns unchanged. Few keys
     are broadcast, so that the texts are not shuffled."""
-    keyed = docs.withColumns(dict(zip(KEYS, row_key())))
-    return keyed.join(small(rejected), KEYS, "left_anti").drop(*KEYS)
+    own = [unused(k, docs) for k in KEYS]
+    keyed = docs.withColumns(dict(zip(own, row_key(own))))
+    gone = small(rejected.select(*[F.col(k).alias(o) for k, o in zip(KEYS, own)]))
+    return keyed.join(gone, own, "left_anti").drop(*own)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from downfield.llm.common import KEYS, row_key, without
+from downfield.llm.common import KEYS, row_key, unused, without
 from downfield.llm.graph import components
 from downfield.session import materialise
 
@@ -121,4 +121,5 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     repeated = marked.groupBy(*KEYS).count().where("count > 1")
     if repeated.isEmpty():
         return kept
-    return kept.withColumns(dict(zip(KEYS, row_key()))).dropDuplicates(KEYS).drop(*KEYS)
+    own = [unused(k, docs) for k in KEYS]
+    return kept.withColumns(dict(zip(own, row_key(own)))).dropDuplicates(own).drop(*own)

@@ -462,6 +462,68 @@ def test_toxicity_without_labels(spark, hard):
     assert toxicity.drop_toxic(hard, none).count() == len(HARD)
 
 
+def slow_fit(positive, unlabelled, prior):
+    """Choice of places, loss and Adam step, one number at a time."""
+    p, u = len(positive), len(unlabelled)
+    held = Counter(i for ids in positive for i in set(ids))
+    usual = Counter(i for ids in unlabelled for i in set(ids))
+    names = []
+    for i in sorted(held | usual):
+        a, b = held[i] / p, usual[i] / u
+        if held[i] + usual[i] >= 5 and abs(a - b) >= 3 * math.sqrt(max(b, 1 / u) * max(1 - b, 1 / u) / p):
+            names.append(i)
+    weight, bias = dict.fromkeys(names, 0.0), math.log(prior / (1 - prior))
+    first, second = Counter(), Counter()
+    for step in range(1, 301):
+        z = [[bias + sum(weight.get(i, 0.0) for i in ids) for ids in side] for side in (positive, unlabelled)]
+        loss = [[math.log1p(math.exp(v)) for v in side] for side in z]  # of being called negative
+        chance = [[1 / (1 + math.exp(-v)) for v in side] for side in z]
+        slope = Counter()
+        if sum(loss[1]) / u >= prior * sum(loss[0]) / p:
+            push = [[prior * (c - 1) / p - prior * c / p for c in chance[0]], [c / u for c in chance[1]]]
+        else:
+            push = [[prior * c / p for c in chance[0]], [-c / u for c in chance[1]]]
+        for side, pushes in zip((positive, unlabelled), push):
+            for ids, v in zip(side, pushes):
+                for i in ids:
+                    if i in weight:
+                        slope[i] += v
+                slope["bias"] += v
+        for i in weight:
+            slope[i] += 1e-4 * weight[i]
+        for i in [*names, "bias"]:
+            first[i] = 0.9 * first[i] + 0.1 * slope[i]
+            second[i] = 0.999 * second[i] + 0.001 * slope[i] ** 2
+            move = 0.1 * (first[i] / (1 - 0.9 ** step)) / (math.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)
+            if i == "bias":
+                bias -= move
+            else:
+                weight[i] -= move
+    return weight, bias
+
+
+def test_toxicity_fit_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    words = [f"word{chr(97 + i)}" for i in range(26)]
+    data, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        own = rng.choice(words[:3] if bad and rng.random() < .9 else words, rng.integers(0, 9))
+        data.append((i, " ".join(own)))
+        labels.append((i, 1, int(bad)))
+    labels.append((3, 1, 1))  # a twofold label confirms nothing
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    table_of = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, table_of)
+    fold = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    prior = sum(x[2] for x in fold) / len(fold)
+    sure = {i: min(x[2] for x in fold if x[0] == i) for i, _, _ in fold}
+    ids = {i: toxicity.term_ids(t).tolist() for i, t in data}
+    weight, bias = slow_fit([ids[i] for i in sorted(sure) if sure[i]], [ids[i] for i in sorted(sure)], prior)
+    assert weight and model.weights.keys() == weight.keys()
+    assert model.bias == pytest.approx(bias, abs=1e-9) and all(model.weights[i] == pytest.approx(w, abs=1e-9) for i, w in weight.items())
+
+
 # decontamination -------------------------------------------------------------------------------------------------------
 
 def contract_words(text):
