@@ -2,7 +2,7 @@
 
 import math
 
-from downfield.llm import decontaminate, linedup, mixing, quality
+from downfield.llm import decontaminate, linedup, merkle, mixing, quality, search
 from downfield.llm.common import LOWER, UPPER
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -88,9 +88,13 @@ select doc_id, size, source_size, target, cast(copies * size as bigint) as taken
   case when copies > 0 then case {' '.join(at)} end end as first_position from c"""
 
 
+def _terms() -> str:
+    return (f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+            r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+
+
 def decontamination_sql() -> str:
-    words = (f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
-             r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+    words = _terms()
     return f"""
 with d as (select row_number() over () as rid, doc_id, {words} as ws from documents),
 i as (select item_id, {words} as ws from benchmark),
@@ -136,3 +140,61 @@ d as (select *, max(page_id) over (partition by sha) as largest, array_to_string
   lambda i: cast('0x' || substr(sha, cast(5 * i + 1 as integer), 5) as bigint)), lambda v: {letters}), '') as payload_digest from p)
 select page_id, payload_bytes, payload_digest, case when page_id is distinct from largest and largest is not null then 'revisit' else 'response' end
   as record_type, case when page_id is distinct from largest then largest end as refers_to from d"""
+
+
+def search_sql() -> str:
+    return f"""
+with d as (select row_number() over () as rid, doc_id, {_terms()} as ws from documents),
+i as (select row_number() over () as q, item_id, list_distinct({_terms()}) as ws from benchmark),
+asked as (select q, unnest(ws) as term from i),
+c as (select rid, doc_id, cast(len(ws) as bigint) as n from d),
+stats as (select count(*) filter (n > 0) as n_docs, cast(sum(n) as bigint) as n_terms from c),
+t as (select rid, term, count(*) as tf from (select rid, unnest(ws) as term from d) where term in (select term from asked) group by rid, term),
+w as (select term, cast(floor(1000 * ln(cast(2 * any_value(n_docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as w from t, stats group by term),
+s as (select q, rid, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) as bigint) as score
+  from asked join t using (term) join w using (term) join c using (rid), stats group by q, rid, doc_id)
+select item_id, cast(place as integer) as rank, doc_id, score from (select q, doc_id, score,
+  row_number() over (partition by q order by score desc, doc_id nulls first) as place from s where score > 0) join i using (q) where place <= {search.TOP}"""
+
+
+LEVELS = 40  # of a tree in SQL, enough for any table
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs ``name``_root (g, h) and ``name``_path (g, i, steps) over ``leaves`` (g, i, n, h)."""
+    def open_(k: int) -> str:
+        return f"(n + {(1 << k) - 1}) // {1 << k} > 1"
+
+    out = [f"{name}0 as (select g, i, n, h from {leaves})"]
+    for k in range(LEVELS):
+        out.append(f"{name}{k + 1} as (select g, i // 2 as i, n, case when {open_(k)} then sha256(string_agg(h, '' order by i)) else any_value(h) end as h"
+                   f" from {name}{k} group by g, i // 2, n)")
+    steps = " union all ".join(
+        f"select a.g, a.i, {k} as k, case when (a.i >> {k}) % 2 = 1 then b.h || '|' else '|' || coalesce(b.h, '') end as step"
+        f" from {name}0 a left join {name}{k} b on a.g = b.g and b.i = xor(a.i >> {k}, 1) where {open_(k).replace('n +', 'a.n +')}" for k in range(LEVELS))
+    return ", ".join([*out, f"{name}_root as (select g, h from {name}{LEVELS})",
+                      f"{name}_path as (select g, i, list(step order by k) as steps from ({steps}) group by g, i)"])
+
+
+def merkle_sql() -> str:
+    """The tampered rows need CRC-32, here bit by bit over the digits of the id."""
+    def leaf(n_chars: str) -> str:
+        values = [f"cast({n_chars if f == 'n_chars' else f} as varchar)" for f in merkle.FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    bits = "[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]"
+    crc = (f"xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(doc_id as varchar), ''), "
+           f"lambda x: {bits}))), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end))")
+    return f"""
+with e as (select doc_id, coalesce('=' || lang, '') as g, {leaf('n_chars')} as h,
+  case when {crc} % 7 = 0 then {leaf('cast(n_chars as hugeint) + 1')} end as presented from documents),
+rows as (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as i, count(*) over (partition by g) as n from e),
+{_tree('t', 'rows')},
+groups as (select '' as g, g as lang, row_number() over (order by g) - 1 as i, count(*) over () as n, h from t_root),
+{_tree('u', 'groups')},
+tops as (select groups.lang as g, groups.h as subroot, u_root.h as root, coalesce(steps, []) as upper from groups cross join u_root
+  left join u_path on u_path.i = groups.i),
+p as (select doc_id, rows.h as leaf, subroot, root, list_concat(coalesce(steps, []), upper) as steps, coalesce(presented, rows.h) as own
+  from rows left join t_path on t_path.g = rows.g and t_path.i = rows.i join tops on tops.g = rows.g),
+f as (select *, list_reduce(list_prepend(own, steps), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) as folded_root from p)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) as proof_sha256, folded_root, folded_root = root as verified from f"""

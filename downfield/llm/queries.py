@@ -2,18 +2,22 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.llm import (
     decontaminate,
     linedup,
+    merkle,
     mixing,
     oracles,
     quality,
+    search,
     secrets,
     shards,
     simhash,
+    tokens,
     toxicity,
     urls,
     warc,
@@ -89,3 +93,25 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     cleaned = linedup.clean(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", "words_dropped", F.md5("text").alias("text_md5"))
+
+
+@query("op11_search", oracles.search_sql())
+def op11(spark, sf_dir):
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), search.TOP)
+
+
+@query("op12_merkle", oracles.merkle_sql())
+def op12(spark, sf_dir):
+    """Proofs of all rows, folded again from leaves of which every seventh or so tells of one character more."""
+    more = {"n_chars": F.col("n_chars").cast("decimal(38,0)") + 1}
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    told = merkle.manifest(table(spark, sf_dir, "documents"),
+                           presented=F.when(changed, merkle.leaf([more.get(f, F.col(f)) for f in merkle.FIELDS])))
+    root = merkle.folded(F.coalesce("presented", "leaf"), F.col("proof"))
+    return told.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                       root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_tokens")
+def op13(spark, sf_dir):
+    return tokens.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
