@@ -188,9 +188,13 @@ def test_encoder_gives_the_ids_of_whole_texts(plain, monkeypatch):
         encoder = tokens.Encoder(f.read())
     rng = random.Random(1)
     signs = "aAbIl sdtmrve''  \n\t \r\x0b\x00\x1c\x1f\x85é×÷ßñ1²Ⅳ٣!?.,_-<|>…“中文　  \U0001f511é"
-    for i in range(3000):
-        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) + "<|endoftext|>" * (i % 9 == 0)
-        assert [x for p in encoder.parts(text) for x in p.tolist()] == plain(text), repr(text)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) + "<|endoftext|>" * (i % 9 == 0) for i in range(3000)]
+    texts += ["x" * 5000, "÷" * 3000 + " a", "a÷" * 2000, " " * 3000]
+    got = [[] for _ in texts]
+    for number, ids, _ in encoder.stream(texts):
+        got[number] += ids.tolist()
+    for text, ids in zip(texts, got):
+        assert ids == plain(text), repr(text[:80])
 
 
 @pytest.mark.parametrize("kind", [np.uint32, np.uint64])
