@@ -10,8 +10,8 @@ from downfield.plans.play_queries import (CHAOS, ENRICHED, EP_BATCH, FEATURES_SQ
                                           STREAM_PRESSURE, TD_BATCH)
 from downfield.plans.registry import query
 from downfield.schema import LIVE_PLAY, PLAY_EVENT, TRACKING_FRAME
-from downfield.session import new_dir
-from downfield.sources import history, records, sinks
+from downfield.session import materialise, new_dir
+from downfield.sources import history, log, records, sinks
 from downfield.sources import testdata as data
 from downfield.streaming import jobs
 
@@ -55,19 +55,6 @@ def q_union_seasons(spark, sf):
         *SEASON_COLUMNS.replace(" ", "").split(","))
 
 
-def _records(spark, sf):
-    """Record texts, some of them broken in different ways."""
-    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    game, k = F.concat(F.lit('{"game_id": '), quote("game_id")), F.col("partkey")
-    value = (F.when(k % 17 == 0, "not json").when(k % 19 == 0, "")
-             .when(k % 23 == 0, F.concat(game, F.lit(', "down": "third"}')))
-             .when(k % 29 == 0, F.concat(game, F.lit(', "down": ')))
-             .otherwise(F.concat(game, F.lit(', "down": '), F.coalesce(F.col("down").cast("string"), F.lit("null")),
-                                 F.lit(', "extra": [1], "posteam": '), quote("posteam"), F.lit(', "ydstogo": '),
-                                 F.col("ydstogo").cast("string"), F.lit("}"))))
-    return data.history(spark, sf).select("play_id", value.alias("value"))
-
-
 BAD = "(partkey % 17 = 0 or partkey % 19 = 0 or partkey % 23 = 0 or partkey % 29 = 0)"
 
 
@@ -77,16 +64,35 @@ BAD = "(partkey % 17 = 0 or partkey % 19 = 0 or partkey % 23 = 0 or partkey % 29
  when partkey % 23 = 0 then '{{"game_id": "' || game_id || '", "down": "third"}}'
  when partkey % 29 = 0 then '{{"game_id": "' || game_id || '", "down": ' end as rejected {FROM_PLAYS}""")
 def q_decode_records(spark, sf):
-    decoded = records.decode_records(_records(spark, sf))
+    decoded = records.decode_records(data.record_texts(spark, sf))
     bad = F.col(records.CORRUPT).isNotNull()
     return decoded.select("play_id", *[F.when(~bad, F.col(c)).alias(c) for c in ("game_id", "down", "ydstogo")],
                           F.col(records.CORRUPT).alias("rejected"))
 
 
+REJECTED = """case when partkey % 17 = 0 then 'not json' when partkey % 19 = 0 then ''
+ when partkey % 23 = 0 then '{"game_id": "' || game_id || '", "down": "third"}'
+ when partkey % 29 = 0 then '{"game_id": "' || game_id || '", "down": ' end"""
+
+
+@query("decode_stream", f"""select 'good' as sink, play_id, game_id, down, ydstogo, cast(null as varchar) as value {FROM_PLAYS} where not {BAD}
+ union all select 'quarantine', null, null, null, null, {REJECTED} {FROM_PLAYS} where {BAD}""")
+def q_decode_stream(spark, sf):
+    """A stream of texts into two sinks, in several micro-batches."""
+    path, source = new_dir(spark, "decoded"), data.record_files(spark, sf)
+    texts = (spark.readStream.schema("play_id bigint, value string")
+             .option("maxFilesPerTrigger", _per_trigger(spark, source)).parquet(source))
+    run(jobs.decode_stream(texts, path, new_dir(spark, "ckpt"), every=None))
+    good, bad = spark.read.parquet(f"{path}/good"), spark.read.parquet(f"{path}/quarantine")
+    columns = ("play_id", "game_id", "down", "ydstogo")
+    return good.select(F.lit("good").alias("sink"), *columns, F.lit(None).cast("string").alias("value")).union(
+        bad.select(F.lit("quarantine"), *[F.lit(None).cast(good.schema[c].dataType) for c in columns], "value"))
+
+
 @query("conform_schema", f"""select play_id, game_id, down, posteam, cast(null as integer) as shotgun,
  cast(null as varchar) as source, 22 as n_columns {FROM_PLAYS} where not {BAD}""")
 def q_conform_schema(spark, sf):
-    conformed = records.good_records(records.decode_records(_records(spark, sf), LIVE_PLAY))
+    conformed = records.good_records(records.decode_records(data.record_texts(spark, sf), LIVE_PLAY))
     return conformed.select("play_id", "game_id", "down", "posteam", "shotgun", "source",
                             F.lit(len(conformed.columns) - 1).alias("n_columns"))
 
@@ -136,20 +142,19 @@ SCORED_SQL = f"""select game_id, timestamp, description, down, ydstogo, yardline
 
 @query("latest_snapshot", f"{SCORED_SQL} from ({NEWEST_SQL}) s")
 def q_latest_snapshot(spark, sf):
-    base = new_dir(spark, "snapshot")
-    plays = data.live_plays(spark, sf).drop("play_id")
-    for part in ("qtr = 2", "qtr = 1", "qtr > 2"):
-        sinks.merge_snapshot(score.score_batch(plays.filter(part)), base, jobs.SCORE_KEY, *jobs.SCORE_ORDER, compact_every=2)
-    return jobs.read_scores(spark, base).select(*SCORED_COLUMNS)
+    """Three batches, one of them twice."""
+    path, plays = new_dir(spark, "snapshot"), data.live_plays(spark, sf).drop("play_id")
+    for batch_id, part in ((0, "qtr = 2"), (1, "qtr = 1"), (1, "qtr = 1"), (2, "qtr > 2")):
+        sinks.write_newest(score.score_batch(plays.filter(part)), batch_id, path, jobs.SCORE_KEY, *jobs.SCORE_ORDER)
+    return jobs.read_scores(spark, path).select(*SCORED_COLUMNS)
 
 
 @query("read_latest", f"{SCORED_SQL} {FROM_LIVE} where qtr > 2")
 def q_read_latest(spark, sf):
-    base = new_dir(spark, "latest")
-    plays = data.live_plays(spark, sf)
+    path, plays = new_dir(spark, "latest"), data.live_plays(spark, sf)
     for part in ("qtr <= 2", "qtr > 2"):
-        sinks.publish_snapshot(score.score_batch(plays.filter(part)), base)
-    return sinks.read_latest(spark, base).select(*SCORED_COLUMNS)
+        sinks.publish_snapshot(score.score_batch(plays.filter(part)), path)
+    return sinks.read_latest(spark, path).select(*SCORED_COLUMNS)
 
 
 # ---------------------------------------------------------------- streams
@@ -252,6 +257,21 @@ def q_enriched_play(spark, sf):
     return tracking.enriched_plays(data.tracked_plays(spark, sf), data.tracking(spark, sf)).drop("processed_at")
 
 
+@query("stream_enriched", f"""select p.game_id, p.play_id, quarter, down, ydstogo, play_type,
+ {STREAM_PLAY} as predicted_play_type, {STREAM_PRESSURE} as pressure_rate, coalesce(n.time_to_throw, own_time) as time_to_throw, was_pressure,
+ defenders_in_box, n.nearest_defender_dist, n.qb_pocket_location, cast({CHAOS} as double) as chaos_score, epa
+ from ({TRACKED_EVENTS_SQL}) p left join ({NEAREST_SQL}) n on p.game_id = n.game_id and p.play_id = n.play_id""")
+def q_stream_enriched(spark, sf):
+    """One enriched row for each streamed play, equal to the batch result; the watermark closes them in the second run."""
+    path, ckpt = new_dir(spark, "enriched_stream"), new_dir(spark, "ckpt")
+    plays, frames = data.tracking_files(spark, sf)
+    for upto in ("now", "*"):
+        enriched = jobs.enrich_tracked(jobs.read_from_files(spark, f"{plays}/{upto}", data.TRACKED_PLAY, None),
+                                       jobs.read_from_files(spark, f"{frames}/{upto}", TRACKING_FRAME, None))
+        run(jobs.write_to_parquet(enriched, path, ckpt, partition_by=None, every=None))
+    return spark.read.parquet(path).filter(F.col("game_id") != data.LAST_GAME).drop("processed_at")
+
+
 @query("stream_tracking", f"""select p.game_id, p.play_id, f.frame_id, f.x, f.y from ({data.TRACKED_PLAYS_SQL}) p
  left join (select * from ({TRACKING_SQL}) t where position = 'QB') f on p.game_id = f.game_id and p.play_id = f.play_id""")
 def q_stream_tracking(spark, sf):
@@ -261,7 +281,44 @@ def q_stream_tracking(spark, sf):
     # The second run continues the first: a far later play moves the watermark beyond all others.
     for upto in ("now", "*"):
         joined = jobs.join_tracking(jobs.read_from_files(spark, f"{plays}/{upto}", data.TRACKED_EVENT, None),
-                                    jobs.read_from_files(spark, f"{frames}/{upto}", TRACKING_FRAME, None))
+                                    jobs.read_from_files(spark, f"{frames}/{upto}", TRACKING_FRAME, None).filter(
+                                        "position = 'QB' or position is null and player_id is null"))
         kept = joined.select("game_id", "play_id", "frame_id", "x", "y")
         run(jobs.write_to_parquet(kept, path, ckpt, partition_by=None, every=None))
     return spark.read.parquet(path).filter(F.col("game_id") != data.LAST_GAME)
+
+
+LOG_FETCHES, LOG_FILES, LOG_OLD = 10, 12, 7
+
+
+@query("stream_log", f"""select start, position, o_orderkey as play_id, o_orderstatus as note from (
+ select *, row_number() over (order by o_orderkey) - 1 as position, (count(*) over () + {LOG_FILES - 1}) // {LOG_FILES} as rows from orders) o,
+ (select unnest(['earliest', 'latest']) as start) s where start = 'earliest' or position >= {LOG_OLD} * rows""")
+def q_stream_log(spark, sf):
+    """A log read from its oldest line and from now on; both readers stop and go on while it grows."""
+    path, n = new_dir(spark, "log"), spark.read.parquet(f"{sf}/orders.parquet").count()
+    rows = -(-n // LOG_FILES)
+    lines = materialise(data.play_log(spark, sf, rows))
+
+    def grow(first: int, last: int) -> None:
+        (lines.filter(F.col("chunk").between(first, last - 1)).repartition("chunk").sortWithinPartitions("chunk", "position")
+         .drop("position").write.mode("append").partitionBy("chunk").json(path))
+
+    readers = {start: (new_dir(spark, start), new_dir(spark, "ckpt")) for start in ("earliest", "latest")}
+
+    def start_all() -> list:
+        return [jobs.write_batches(log.read_log(spark, path, rows, ckpt, start, -(-n // LOG_FETCHES)), out, ckpt, every="0 seconds")
+                for start, (out, ckpt) in readers.items()]
+
+    grow(0, LOG_OLD)
+    for first, last in ((LOG_OLD, LOG_OLD + 2), (LOG_OLD + 2, LOG_FILES)):
+        running = start_all()
+        for q in running:
+            q.processAllAvailable()
+        grow(first, last)
+        for q in running:
+            q.processAllAvailable()
+            q.stop()
+    found = [spark.read.parquet(where[0]).select(F.lit(start).alias("start"), "position", F.from_json(
+        "value", "play_id bigint, note string").alias("line")) for start, where in readers.items()]
+    return found[0].union(found[1]).select("start", "position", "line.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from downfield.constants import TEAMS
 from downfield.operators.clean import play_event
+from downfield.operators.numbering import numbered
 from downfield.schema import HISTORY_COLUMNS
 from downfield.session import new_dir
 
@@ -239,16 +240,21 @@ def tracked_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRACKED_EVENT = "game_id string, play_id bigint, event_time timestamp"
+TRACKED_PLAY = (f"{TRACKED_EVENT}, quarter int, down int, ydstogo int, yardline_100 int, play_type string, shotgun int, "
+                "defenders_in_box int, number_of_pass_rushers int, was_pressure int, time_to_throw double, epa double")
 LAST_GAME = "last"
 
 
 def tracking_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Folders of tracked plays and of their passers' frames as JSON lines: ``now`` holds all, ``end`` one play of a year
+    """Folders of tracked plays and of their tracking frames as JSON lines: ``now`` holds all, ``end`` one play of a year
     later."""
     def write(path: str) -> None:
-        plays, frames = tracked_plays(spark, sf_dir), tracking(spark, sf_dir).filter("position = 'QB'")
-        plays.select("game_id", "play_id", "event_time").write.json(f"{path}/plays/now")
-        frames.write.json(f"{path}/frames/now")
+        def lines(df: DataFrame, name: str) -> None:
+            df.write.option("maxRecordsPerFile", ROWS_PER_FILE).json(f"{path}/{name}")
+
+        columns = [c.split()[0] for c in TRACKED_PLAY.split(", ")]
+        lines(tracked_plays(spark, sf_dir).select(*columns), "plays/now")
+        lines(tracking(spark, sf_dir), "frames/now")
         later = F.make_timestamp(F.lit(2100), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
         one = spark.range(1).select(F.lit(LAST_GAME).alias("game_id"), F.col("id").alias("play_id"), later.alias("event_time"))
         one.write.json(f"{path}/plays/end")
@@ -311,6 +317,31 @@ LATE_COLUMNS = ["route", "was_pressure", "time_to_throw"]
 FIRST_FULL_SEASON = 1998
 
 
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(play_id, value): record texts, some of them broken in different ways."""
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    game, k = F.concat(F.lit('{"game_id": '), quote("game_id")), F.col("partkey")
+    value = (F.when(k % 17 == 0, "not json").when(k % 19 == 0, "")
+             .when(k % 23 == 0, F.concat(game, F.lit(', "down": "third"}')))
+             .when(k % 29 == 0, F.concat(game, F.lit(', "down": ')))
+             .otherwise(F.concat(game, F.lit(', "down": '), F.coalesce(F.col("down").cast("string"), F.lit("null")),
+                                 F.lit(', "extra": [1], "posteam": '), quote("posteam"), F.lit(', "ydstogo": '),
+                                 F.col("ydstogo").cast("string"), F.lit("}"))))
+    return history(spark, sf_dir).select("play_id", value.alias("value"))
+
+
+def record_files(spark: SparkSession, sf_dir: str) -> str:
+    """Record texts as Parquet files for a file stream."""
+    return staged(spark, sf_dir, "records", lambda path: (
+        record_texts(spark, sf_dir).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)))
+
+
+def play_log(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
+    """(position, chunk, play_id, note): a line per order by its key, ``rows`` to a chunk, for ``sources.log``."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("play_id"), F.col("o_orderstatus").alias("note"))
+    return numbered(orders, "play_id").withColumnRenamed("rank", "position").withColumn("chunk", F.floor(F.col("position") / rows))
+
+
 def season_files(spark: SparkSession, sf_dir: str) -> str:
     """Season files in two layouts: ``old`` seasons lack some columns and order the
     rest differently from ``new`` ones. ``all`` has one layout throughout."""

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from downfield.operators.score import enrich, enriched_output, score_batch
-from downfield.schema import PLAY_EVENT
-from downfield.sources.records import to_keyed_json
-from downfield.sources.sinks import chunk_json, merge_snapshot, read_merged, set_times
+from downfield.operators.tracking import enriched_layout
+from downfield.schema import LIVE_PLAY, PLAY_EVENT, struct_of
+from downfield.sources.records import decode_records, good_records, quarantine, to_keyed_json
+from downfield.sources.sinks import chunk_json, read_newest, set_times, write_newest
 
 
 def read_from_files(spark: SparkSession, path: str, schema: str = PLAY_EVENT,
@@ -105,17 +106,33 @@ def write_topic(df: DataFrame, servers: str, topic: str, checkpoint: str, key: s
 SCORE_KEY, SCORE_ORDER = "game_id", ("timestamp", "description")
 
 
-def score_stream(df: DataFrame, base: str, checkpoint: str, every: str | None = "3 seconds") -> StreamingQuery:
-    """Score each micro-batch and add the newest scored play of every game in it; ``read_scores`` gives the table."""
+def score_stream(df: DataFrame, path: str, checkpoint: str, every: str | None = "3 seconds") -> StreamingQuery:
+    """Score each micro-batch and write the newest scored play of every game in it; ``read_scores`` gives the table."""
     def publish(batch: DataFrame, batch_id: int) -> None:
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        merge_snapshot(score_batch(batch), base, SCORE_KEY, *SCORE_ORDER, tag=f"{query}-{batch_id}")
+        write_newest(score_batch(batch), batch_id, path, SCORE_KEY, *SCORE_ORDER)
     writer = df.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
-def read_scores(spark: SparkSession, base: str) -> DataFrame | None:
-    return read_merged(spark, base, SCORE_KEY, *SCORE_ORDER)
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The newest scored play of every game."""
+    scored = score_batch(spark.createDataFrame([], struct_of(LIVE_PLAY))).schema
+    return read_newest(spark, path, scored, SCORE_KEY, *SCORE_ORDER)
+
+
+def decode_stream(texts: DataFrame, path: str, checkpoint: str, schema: str = LIVE_PLAY, every: str | None = "3 seconds") -> StreamingQuery:
+    """Decode a stream of record texts (``value``; other columns stay) into two sinks: ``path/good`` has the records,
+    ``path/quarantine`` the texts that could not be read. Both are written per micro-batch, as ``batch=<id>``, and
+    a repeated batch replaces both."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        decoded = decode_records(batch, schema).persist()
+        try:
+            for name, rows in (("good", good_records(decoded)), ("quarantine", quarantine(decoded))):
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        finally:
+            decoded.unpersist()
+    writer = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, every).start()
 
 
 def write_replay(events: DataFrame, path: str, rows: int = 100_000) -> None:
@@ -138,3 +155,31 @@ def join_tracking(plays: DataFrame, frames: DataFrame, delay: str = "1 minute",
                 f"and f.frame_time <= p.play_time + interval {longest}")
     extra = [c for c in f.columns if c not in ("game_id", "play_id")]
     return p.join(f, on, "left_outer").select("p.*", *[F.col(f"f.{c}") for c in extra])
+
+
+def enrich_tracked(plays: DataFrame, frames: DataFrame, delay: str = "1 minute", longest: str = "10 minutes") -> DataFrame:
+    """One row per streamed play in the documented enriched layout, once the watermark tells that none of its tracking frames
+    can follow; append mode.
+
+    Behind the stream-stream join two stateful aggregations follow: per frame the passer and the spots of all other players
+    (as many as stand on the field), then per play the smallest distance, the passer's drift and time. Keys hold the play's
+    event time, so that the watermark closes them; both aggregations combine before the shuffle.
+    """
+    wanted = frames.select("game_id", "play_id", "frame_id", "player_id", "team", "position", "x", "y", "event_time")
+    joined = join_tracking(plays.select("game_id", "play_id", "event_time", F.struct(
+        *[c for c in plays.columns if c not in ("game_id", "play_id", "event_time")]).alias("play")), wanted, delay, longest)
+    key = ["game_id", "play_id", "play_time", "play"]
+    spot = F.struct("player_id", "team", "x", "y", F.unix_micros("frame_time").alias("at"))
+    passer = F.col("position").eqNullSafe("QB")
+    by_frame = joined.groupBy(*key, "frame_id").agg(
+        F.min(F.when(passer, spot)).alias("qb"),
+        F.collect_set(F.when(~passer, F.struct("team", "x", "y"))).alias("others"))
+    gaps = F.transform(F.filter("others", lambda o: o["team"] != F.col("qb.team")), lambda o: F.sqrt(
+        (o["x"] - F.col("qb.x")) * (o["x"] - F.col("qb.x")) + (o["y"] - F.col("qb.y")) * (o["y"] - F.col("qb.y"))))
+    seen = F.when(F.col("qb").isNotNull(), F.struct("frame_id", F.col("qb.y").alias("y")))
+    by_play = by_frame.groupBy(*key).agg(
+        F.min(F.when(F.col("qb").isNotNull(), F.array_min(gaps))).alias("nearest_defender_dist"),
+        F.min(seen).alias("first"), F.max(seen).alias("last"), F.min("qb.at").alias("from"), F.max("qb.at").alias("to"))
+    return enriched_layout(by_play.select(
+        "game_id", "play_id", "play.*", "nearest_defender_dist", (F.col("last.y") - F.col("first.y")).alias("drift"),
+        ((F.col("to") - F.col("from")) / 1_000_000).alias("tracked_time")))

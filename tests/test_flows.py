@@ -12,9 +12,9 @@ from downfield.operators.clean import play_event
 from downfield.operators.features import play_features
 from downfield.operators.score import enrich, enriched_output
 from downfield.plans.jobs import build_features
-from downfield.schema import LIVE_PLAY, PLAY_EVENT
+from downfield.schema import LIVE_PLAY, PLAY_EVENT, TRACKING_FRAME
 from downfield.session import materialise
-from downfield.sources import history, records, sinks
+from downfield.sources import history, log, records, sinks
 from downfield.sources import testdata as data
 from downfield.streaming import jobs
 
@@ -77,49 +77,86 @@ def frame(spark, *r):
     return spark.createDataFrame(list(r), "game_id string, timestamp string, down int")
 
 
-def merged(spark, base):
-    return rows(sinks.read_merged(spark, base, "game_id", "timestamp"))
+def newest(spark, path):
+    return rows(sinks.read_newest(spark, path, frame(spark).schema, "game_id", "timestamp"))
 
 
-def test_snapshot_keeps_newest_play_and_survives_retry(spark, tmp_path):
-    base = str(tmp_path / "snap")
-    assert sinks.read_merged(spark, base, "game_id", "timestamp") is None
-    sinks.merge_snapshot(frame(spark, ("a", "1", 1), ("b", "5", 2)), base, "game_id", "timestamp", tag="q-0")
-    for _ in range(2):  # the second run stands for a retried batch
-        sinks.merge_snapshot(frame(spark, ("a", "3", 3), ("b", "4", 4)), base, "game_id", "timestamp", tag="q-1")
-    assert len(os.listdir(base)) == 2
-    assert merged(spark, base) == rows(frame(spark, ("a", "3", 3), ("b", "5", 2)))
-    os.makedirs(f"{base}/part=000000000009-delta-q-2")  # a write that has not finished
-    assert merged(spark, base) == rows(frame(spark, ("a", "3", 3), ("b", "5", 2)))
-    # A stream restarted on a new checkpoint counts its batches from 0 again; nothing of it is lost.
-    sinks.merge_snapshot(frame(spark, ("a", "9", 1)), base, "game_id", "timestamp", tag="r-0")
-    assert merged(spark, base) == rows(frame(spark, ("a", "9", 1), ("b", "5", 2)))
+def test_newest_play_survives_a_repeated_batch(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    sinks.write_newest(frame(spark, ("a", "1", 1), ("b", "5", 2), ("a", "0", 7)), 0, path, "game_id", "timestamp")
+    for part in (("a", "2", 9), ("a", "3", 3)):  # the second write stands for the batch done again
+        sinks.write_newest(frame(spark, part, ("b", "4", 4)), 1, path, "game_id", "timestamp")
+    assert sorted(d for d in os.listdir(path)) == ["batch=0", "batch=1"]
+    assert spark.read.parquet(f"{path}/batch=0").count() == 2  # a row per game
+    assert newest(spark, path) == rows(frame(spark, ("a", "3", 3), ("b", "5", 2)))
+    sinks.write_newest(frame(spark), 2, path, "game_id", "timestamp")
+    assert newest(spark, path) == rows(frame(spark, ("a", "3", 3), ("b", "5", 2)))
 
 
-def test_a_small_batch_writes_a_small_part(spark, tmp_path):
-    base = str(tmp_path / "snap")
-    many = spark.range(5000).selectExpr("cast(id as string) as game_id", "'1' as timestamp", "1 as down")
-    sinks.merge_snapshot(many, base, "game_id", "timestamp")
-    sinks.merge_snapshot(frame(spark, ("7", "2", 2)), base, "game_id", "timestamp")
-    parts = sorted(os.listdir(base))
-    assert [spark.read.parquet(f"{base}/{p}").count() for p in parts] == [5000, 1]
-    assert sinks.read_merged(spark, base, "game_id", "timestamp").filter("down = 2").count() == 1
-
-
-def test_compaction_drops_only_what_is_replaced(spark, tmp_path):
-    base = str(tmp_path / "snap")
-    for i in range(7):
-        sinks.merge_snapshot(frame(spark, ("a", str(i), i), (f"g{i}", "0", 0)), base, "game_id", "timestamp",
-                             compact_every=2, keep_seconds=0)
-        assert sinks.read_merged(spark, base, "game_id", "timestamp").count() == i + 2
-    assert len(os.listdir(base)) < 8 and any("full" in p for p in os.listdir(base))
-
-
-def test_full_versions_follow_each_other(spark, tmp_path):
-    base = str(tmp_path / "snap")
+def test_snapshots_are_overwritten(spark, tmp_path):
+    path = str(tmp_path / "latest")
     for version in range(4):
-        sinks.publish_snapshot(spark.range(version), base)
-    assert sinks.read_latest(spark, base).count() == 3
+        sinks.publish_snapshot(spark.range(version), path)
+    assert sinks.read_latest(spark, path).count() == 3
+
+
+def test_both_sinks_are_replaced_when_a_batch_is_repeated(spark, tmp_path):
+    """The commit of the last batch is taken back, so that the next run does it again."""
+    source, path, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    good, bad = '{"game_id": "g", "down": 1}', "no json"
+    for turn in range(3):
+        if turn < 2:
+            spark.createDataFrame([(turn, good), (turn, bad), (turn, None)], "play_id bigint, value string").coalesce(1).write.mode(
+                "append").parquet(source)
+        texts = spark.readStream.schema("play_id bigint, value string").parquet(source)
+        jobs.decode_stream(texts, path, ckpt, every=None).awaitTermination()
+        assert spark.read.parquet(f"{path}/good").count() == min(turn + 1, 2)
+        assert sorted(r.value for r in spark.read.parquet(f"{path}/quarantine").collect()) == sorted([bad, ""] * min(turn + 1, 2))
+        if turn == 1:
+            for name in glob.glob(f"{ckpt}/commits/*1*") + glob.glob(f"{ckpt}/commits/.1*"):
+                os.remove(name)
+
+
+def logged(path, first, n, rows_per_file=5):
+    for i in range(first, first + n):
+        folder = f"{path}/chunk={i // rows_per_file}"
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/part-0.json", "a") as f:
+            f.write(f"line {i}\n")
+
+
+def test_log_from_both_ends_goes_on_without_loss(spark, tmp_path):
+    path = str(tmp_path / "log")
+    logged(path, 0, 13)
+
+    def turn(start):
+        ckpt = str(tmp_path / f"{start}-ckpt")
+        return jobs.write_batches(log.read_log(spark, path, 5, ckpt, start, per_fetch=4), str(tmp_path / start), ckpt, every="0 seconds")
+
+    def seen(start):
+        got = spark.read.schema("position bigint, value string, batch int").parquet(str(tmp_path / start)).collect()
+        assert all(r.value == f"line {r.position}" for r in got)
+        return sorted(r.position for r in got), got
+
+    quiet = turn("latest")  # starts and ends without a line
+    quiet.processAllAvailable()
+    quiet.stop()
+    for first, n in ((13, 9), (22, 6)):
+        running = [turn("earliest"), turn("latest")]
+        running[0].processAllAvailable()
+        logged(path, first, n)
+        for q in running:
+            q.processAllAvailable()
+            q.stop()
+    positions, got = seen("earliest")
+    assert positions == list(range(28))
+    assert seen("latest")[0] == list(range(13, 28))
+    assert max(sum(r.batch == b for r in got) for b in {r.batch for r in got}) == 4
+
+
+def test_log_start_must_be_known():
+    with pytest.raises(ValueError):
+        log.LogReader({"path": "x", "rows": "5", "checkpoint": "c", "start": "middle"})
 
 
 @pytest.mark.parametrize("n_files", [5, None])
@@ -258,3 +295,28 @@ def test_enriched_plays_of_the_event_layout(spark, sf):
     events = play_event(data.history(spark, sf).limit(20))
     got = tracking.enriched_plays(events, data.tracking(spark, sf))
     assert got.count() == 20 and got.filter("time_to_throw is null or processed_at is null").count() == 0
+
+
+def test_streamed_enriched_plays_close_with_the_watermark(spark, tmp_path):
+    """A play with frames, one without, one whose frames have no passer; a late frame belongs to no play."""
+    play = ('{"game_id": "g", "play_id": %d, "event_time": "2024-01-01T0%d:00:00", "quarter": 1, "down": 3, "ydstogo": 7, "yardline_100": 30,'
+            ' "play_type": "pass", "shotgun": 1, "defenders_in_box": 6, "number_of_pass_rushers": 4, "time_to_throw": 1.5}')
+    spot = ('{"game_id": "g", "play_id": %d, "frame_id": %d, "player_id": "%s", "team": "%s", "position": "%s", "x": %f, "y": %f,'
+            ' "event_time": "2024-01-01T0%d:%02d:0%d"}')
+    frames = [spot % (1, 1, "q", "A", "QB", 0, 0, 1, 0, 0), spot % (1, 1, "d", "B", "CB", 3, 4, 1, 0, 0), spot % (1, 1, "w", "A", "WR", 0, 1, 1, 0, 0),
+              spot % (1, 2, "q", "A", "QB", 0, 3, 1, 0, 2), spot % (1, 2, "d", "B", "CB", 0, 4, 1, 0, 2), spot % (1, 3, "d", "B", "CB", 0, 3, 1, 30, 0),
+              spot % (3, 1, "d", "B", "CB", 0, 4, 1, 0, 0)]
+    events = [play % (i, 1) for i in (1, 2, 3)]
+    for name, own in (("plays", events), ("frames", frames)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text("\n".join(own) + "\n")
+    for more in (False, True):
+        if more:
+            (tmp_path / "plays" / "b.json").write_text(play % (9, 9) + "\n")
+            (tmp_path / "frames" / "b.json").write_text(spot % (9, 1, "q", "A", "QB", 0, 0, 9, 0, 0) + "\n")
+        enriched = jobs.enrich_tracked(jobs.read_from_files(spark, str(tmp_path / "plays"), data.TRACKED_PLAY, None),
+                                       jobs.read_from_files(spark, str(tmp_path / "frames"), TRACKING_FRAME, None))
+        jobs.write_to_parquet(enriched, str(tmp_path / "out"), str(tmp_path / "ckpt"), None, every=None).awaitTermination()
+    got = {r.play_id: (r.nearest_defender_dist, r.qb_pocket_location, r.time_to_throw)
+           for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (1.0, "Left", 2.0), 2: (None, None, 1.5), 3: (None, None, 1.5)}
