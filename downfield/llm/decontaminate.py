@@ -76,7 +76,8 @@ def occurrences(seen: DataFrame, wins: DataFrame) -> DataFrame:
     leave room on both sides (positional and length bounds). A candidate holds if shingles that together cover the
     window lie at their places, which is exact containment. A window with a shingle of no document has no candidate."""
     distinct = wins.select("win", "n", "k", "grams").dropDuplicates(["win"])
-    places = seen.where("hit").select(*KEYS, "n_words", "place", "gram")
+    # Repeated rows have one key: each place of it counts once, so that copies do not meet copies.
+    places = materialise(seen.where("hit").select(*KEYS, "n_words", "place", "gram").distinct())
     counts = places.groupBy("gram").agg(F.count("*").alias("held"))
     spread = distinct.select("win", F.size("grams").alias("m"), F.posexplode("grams").alias("q", "gram"))
     prefix = (spread.join(counts, "gram").groupBy("win", "m")
@@ -104,8 +105,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a benchmark window), n_items,
     items_sha256, contaminated (``share`` times n_hit reaches n_words) and the row's key.
 
-    Null and empty texts have no words and are clean; items without words match nothing, shorter items are one window;
-    an empty benchmark leaves all clean; repeated rows get equal results; other columns are ignored."""
+    Null and empty texts have no words and are clean; whole texts count, however long; items without words match nothing,
+    shorter items are one window; an empty benchmark leaves all clean, an empty table gives no rows; repeated rows are judged once and
+    get equal results; a window at several places, or in several items, counts for each; other columns are ignored."""
     wins = materialise(windows(benchmark, window))
     seen = materialise(benchmark_hits(docs, wins))
     found = materialise(occurrences(seen, wins))

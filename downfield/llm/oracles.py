@@ -50,6 +50,18 @@ best as (select stratum, rule, cut from certified where sure and gain > 0
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({above}) as kept from f"""
 
 
+def _passes() -> str:
+    """From r to o (more, open): the passes of the last reading."""
+    out = ["f0 as (select *, false as more, rest as open from (select *, case when source_size > 0 then target - whole * source_size else 0 end as rest from r) r0)"]
+    for t in range(mixing.PASSES):
+        order, free = "rank" if t < mixing.PASSES - 1 else "size, rank", "not more and open > 0 and size <= open"
+        out += [f"g{t} as (select *, {free} and coalesce(sum(size) filter ({free}) over (partition by stream order by {order}"
+                f" rows between unbounded preceding and 1 preceding), 0) + size <= open as now from f{t})",
+                f"f{t + 1} as (select * exclude (more, open, now), more or now as more,"
+                f" open - coalesce(sum(size) filter (now) over (partition by stream), 0) as open from g{t})"]
+    return ",\n".join([*out, f"o as (select * from f{mixing.PASSES})"])
+
+
 def mixing_sql() -> str:
     weights = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
     at = []
@@ -76,9 +88,7 @@ r as (select thin.*, source_size, target, place, row_number() over own as rank,
   cast(coalesce(sum(size) over (own rows between unbounded preceding and 1 preceding), 0) as bigint) as before,
   case when source_size > 0 then floor(target / source_size) else 1 end as whole from thin join t using (stream)
   window own as (partition by stream order by shuffled, doc_id, size)),
-m as (select *, case when source_size > 0 then target - whole * source_size else 0 end as rest from r),
-n as (select *, rest > 0 and before + size <= rest as more from m),
-o as (select *, max(rest) over (partition by stream) - coalesce(sum(size) filter (more) over (partition by stream), 0) as open from n),
+{_passes()},
 b as (select stream, rank from o where not more and abs(size - open) < open
   qualify row_number() over (partition by stream order by abs(size - open), rank) = 1),
 c as (select o.*, cast(whole as bigint) + case when more or b.rank is not null then 1 else 0 end as copies,

@@ -123,11 +123,29 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(vectors.repartition(1))
 
 
+def running_sums(sizes: Column) -> Column:
+    """For each item of an array the sum of those before it. Sums of blocks of about the root of its length keep the work at the
+    length times that root, with no array longer than the given one."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes).cast("double"))).cast("int"))
+
+    def total(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0), lambda a, b: a + b)
+
+    # Arrays are bound as lambda variables, so that they are computed once and not for each item.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / width).cast("int")),
+                         lambda b: total(F.slice(sizes, b * width + 1, width)))
+    return F.get(F.transform(F.array(F.struct(sizes.alias("s"), width.alias("w"), blocks.alias("b"))), lambda x: F.get(F.transform(
+        F.array(F.transform(x["b"], lambda _, k: total(F.slice(x["b"], F.lit(1), k)))), lambda starts: F.transform(
+            x["s"], lambda _, k: F.get(starts, F.floor(k / x["w"]).cast("int")) + total(F.slice(
+                x["s"], F.floor(k / x["w"]).cast("int") * x["w"] + 1, k % x["w"])))), F.lit(0))), F.lit(0))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, place, offset, candidate, head, tail, before, after, path): every long run of key characters in the words of
     the whole texts. Those of words of letters only or digits only count where they begin as issued keys do or a hint
-    stands before them. place counts the words from 0, offset the characters of the word before the run; head and tail are what stands
-    before and after it in its setting, a part of the word."""
+    stands before them. place counts the words from 0, offset the characters of the word before the run; head is what stands before it
+    in its setting, a part of the word, from the previous run on, after the first hint and the first harmless word of the
+    setting; tail is what follows up to the next run."""
     w = F.col("w")
     path = F.col("path") if "path" in docs.columns else F.lit(None).cast("string")
     split = docs.select("doc_id", path.alias("path"), words(F.col("text")).alias("w")).where(F.size(w) > 0)
@@ -137,34 +155,42 @@ def candidates(docs: DataFrame) -> DataFrame:
         i.alias("place"), F.get(w, i).alias("word"),
         F.concat_ws(" ", F.when(i > 1, F.get(w, i - 2)), F.when(i > 0, F.get(w, i - 1))).alias("before"),
         F.coalesce(F.get(w, i + 1), F.lit("")).alias("after")))
-    def before_each(sizes: Column, k: Column) -> Column:
-        return F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, b: a + b)
+    in_words = split.select("doc_id", "path", F.explode(found).alias("x")).select(
+        "doc_id", "path", "x.place", "x.before", "x.after", F.explode(F.array(F.struct(
+            F.rlike("x.word", F.lit(PLAIN)).alias("plain"), F.split("x.word", SETTING_ENDS, -1).alias("parts")))).alias("cut")).select(
+        "doc_id", "path", "place", "before", "after", "cut.plain", "cut.parts")
+    settings = F.filter(F.arrays_zip("parts", running_sums(F.transform("parts", F.length)).alias("start")),
+                        lambda x: F.rlike(x["parts"], F.lit(CANDIDATE)))
+
+    # What a setting hints at first, with the place where that ends, counts for the runs behind it.
+    def first(pattern: str) -> Column:
+        return F.struct(F.regexp_extract("x.parts", pattern, 0).alias("text"),
+                        F.length(F.regexp_extract("x.parts", rf"(?s)^.*?(?:{pattern})", 0)).alias("end"))
 
-    in_words = split.select("doc_id", "path", F.explode(found).alias("x")).select("doc_id", "path", "x.*").withColumn(
-        "parts", F.split("word", SETTING_ENDS, -1)).withColumn("sizes", F.transform("parts", F.length))
-    settings = F.filter(F.transform("parts", lambda part, k: F.struct(
-        before_each(F.col("sizes"), k).alias("start"), part.alias("part"))), lambda x: F.rlike(x["part"], F.lit(CANDIDATE)))
     # A setting's gaps are one more than its runs; gap k stands before run k.
-    in_settings = in_words.select("doc_id", "path", "place", "before", "after", F.rlike("word", F.lit(PLAIN)).alias("plain"),
+    in_settings = in_words.select("doc_id", "path", "place", "before", "after", "plain",
                                   F.explode(settings).alias("x")).select(
-        "*", "x.*", F.regexp_extract_all("x.part", F.lit(CANDIDATE), F.lit(1)).alias("runs"),
-        F.split("x.part", CANDIDATE, -1).alias("gaps")).withColumn(
-        "sizes", F.zip_with("gaps", "runs", lambda gap, run: F.length(gap) + F.coalesce(F.length(run), F.lit(0))))
-    at = lambda k: before_each(F.col("sizes"), k) + F.length(F.get("gaps", k))
-    each = F.transform("runs", lambda run, k: F.struct(
-        (F.col("start") + at(k)).alias("offset"), run.alias("candidate"), F.substring("part", F.lit(1), at(k)).alias("head"),
-        F.get("gaps", k + 1).alias("tail")))
+        "doc_id", "path", "place", "before", "after", "plain", "x.start", F.explode(F.array(F.struct(
+            F.regexp_extract_all("x.parts", F.lit(CANDIDATE), F.lit(1)).alias("runs"), F.split("x.parts", CANDIDATE, -1).alias("gaps"),
+            first(HINTS).alias("hint"), first(HARMLESS).alias("harmless")))).alias("cut")).select("*", "cut.*").drop("cut")
+    sizes = F.zip_with("gaps", "runs", lambda gap, run: F.length(gap) + F.coalesce(F.length(run), F.lit(0)))
+    each = F.arrays_zip("runs", "gaps", F.slice("gaps", F.lit(2), F.size("gaps")).alias("next"),
+                        F.concat(F.array(F.lit("")), "runs").alias("last"), running_sums(sizes).alias("at"))
+    runs = in_settings.select("doc_id", "path", "place", "before", "after", "plain", "start", "hint", "harmless", F.explode(each).alias("y")).where(
+        "y.runs is not null").withColumn("at", F.col("y.at") + F.length("y.gaps"))
+    told = [F.when((F.col(f"{c}.end") > 0) & (F.col(f"{c}.end") <= F.col("at")), F.concat(f"{c}.text", F.lit(" "))).otherwise("")
+            for c in ("hint", "harmless")]
     hinted = F.rlike(F.concat_ws(" ", "before", "head"), F.lit(HINTS))
-    return (in_settings.select("doc_id", "path", "place", "before", "after", "plain", F.explode(each).alias("y"))
-            .select("doc_id", "path", "place", "before", "after", "plain", "y.*")
+    return (runs.select("doc_id", "path", "place", "before", "after", "plain", (F.col("start") + F.col("at")).alias("offset"),
+                        F.col("y.runs").alias("candidate"), F.concat(*told, "y.last", "y.gaps").alias("head"), F.col("y.next").alias("tail"))
             .where(~F.col("plain") | F.rlike("candidate", F.lit(ISSUED)) | hinted).drop("plain"))
 
 
 def scan(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row per finding: doc_id, place, offset, n_chars, sha256 of the candidate, score and secret (score of at least one half).
 
-    Null, empty and blank texts have no findings; repeated rows repeat theirs; a null doc_id is kept; other columns but
-    ``path`` are ignored."""
+    Null, empty and blank texts have no findings, an empty table gives none; long texts and words of very many runs are scanned
+    whole; repeated rows and repeated keys repeat their findings; a null doc_id is kept; other columns but ``path`` are ignored."""
     model = train(materialise(labelled))
     found = materialise(with_features(candidates(docs)).select("doc_id", "place", "offset", "candidate", *FEATURES))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)

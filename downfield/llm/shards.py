@@ -1,11 +1,13 @@
 """Sharding by jump consistent hashing."""
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from downfield.operators.numbering import running
 from downfield.session import materialise
 
@@ -39,17 +41,30 @@ def jump_shard(key: Column, shards: int) -> Column:
     return place(F.xxhash64(F.coalesce(key.cast("string"), F.lit("null"))))
 
 
-def shard(docs: DataFrame, shards: int) -> DataFrame:
+def written_order(docs: DataFrame) -> list[Column]:
+    """The place of each row in the Parquet files that ``docs`` reads, as they were numbered when written; none if it reads no
+    files."""
+    order = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*order).schema
+    except AnalysisException:
+        return []
+    return order
+
+
+def shard(docs: DataFrame, shards: int, order: Sequence[Column] = ()) -> DataFrame:
     """Place every row of ``docs`` by its doc_id.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1, a null text has none), text_crc32, shard, slot (gapless from
-    0 in each shard, by doc_id, then by checksum and size) and grown_shard, the place with one shard more. Repeated
-    rows keep one slot each, a null doc_id is placed as one key and comes first, other columns are ignored."""
+    0 in each shard, in the given ``order``, then by doc_id, checksum and size) and grown_shard, the place with one shard more.
+    Whole texts count, however long; repeated rows keep one slot each, a null doc_id is placed as one key and comes first, an empty
+    table gives no rows, other columns are ignored."""
     body = F.coalesce(F.col("text"), F.lit(""))
+    places = [f"place{i}" for i in range(len(order))]
     thin = docs.select("doc_id", (F.octet_length(body).cast("long") + 1).alias("size"),
-                       F.crc32(body.cast("binary")).alias("text_crc32"))
+                       F.crc32(body.cast("binary")).alias("text_crc32"), *[c.alias(n) for c, n in zip(order, places)])
     placed = materialise(thin.select("*", jump_shard(F.col("doc_id"), shards).alias("shard"),
                                      jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
-    ranked = running(placed.withColumn("one", F.lit(1)), ["shard"], order, "one")
+    by = [*map(F.col, places), F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    ranked = running(placed.withColumn("one", F.lit(1)), ["shard"], by, "one")
     return ranked.select("doc_id", "size", "text_crc32", "shard", F.col("rank").cast("long").alias("slot"), "grown_shard")

@@ -1,6 +1,5 @@
 """The corpus pipeline against a brute-force version, and its stages on hard rows."""
 
-import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,10 +7,11 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from test_operators import HARD, SCHEMA, component_ids, contamination_of, jump, print_of, targets, tokens
+from test_operators import HARD, SCHEMA, component_ids, contamination_of, jump, near_targets, print_of, targets, tokens
 
-from downfield.llm import toxicity
+from downfield.llm import mixing, toxicity
 from downfield.llm.common import table
+from downfield.session import materialise
 
 
 def is_toxic(model, text):
@@ -27,31 +27,6 @@ def one_of_each(rows):
     return list(best.values())
 
 
-def copies(rows):
-    """Number of times each doc_id is taken: whole readings, the last one in hash order, and the best fit."""
-    sizes = Counter()
-    for r in rows:
-        sizes[r["source"]] += len(tokens(r["text"]))
-    out = Counter()
-    for source, target in targets(sizes).items():
-        own = sorted((r for r in rows if r["source"] == source), key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
-        whole = int(target // sizes[source]) if sizes[source] else 1
-        rest = target - whole * sizes[source] if sizes[source] else 0
-        before, more = 0, set()
-        for r in own:
-            size = len(tokens(r["text"]))
-            out[r["doc_id"]] += whole
-            if rest > 0 and before + size <= rest:
-                more.add(r["doc_id"])
-            before += size
-        left = rest - sum(len(tokens(r["text"])) for r in own if r["doc_id"] in more)
-        fits = [(abs(len(tokens(r["text"])) - left), i, r["doc_id"]) for i, r in enumerate(own)
-                if r["doc_id"] not in more and abs(len(tokens(r["text"])) - left) < left]
-        for doc_id in more | ({min(fits)[2]} if fits else set()):
-            out[doc_id] += 1
-    return out
-
-
 def test_run_equals_brute_force(spark, sf):
     docs = [r.asDict() for r in table(spark, sf, "documents").collect()]
     items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
@@ -59,19 +34,39 @@ def test_run_equals_brute_force(spark, sf):
     rows = [r for r in docs if not is_toxic(model, r["text"])]
     rows = one_of_each(rows)
     rows = [r for r in rows if not contamination_of(r["text"], items)[-1]]
-    want = Counter()
-    text = {r["doc_id"]: r["text"].encode() for r in rows}
-    for doc_id, n in copies(rows).items():
-        shard = jump(xxhash.xxh64_intdigest(str(doc_id).encode(), 42), 8)
-        want[doc_id, len(text[doc_id]) + 1, zlib.crc32(text[doc_id]), shard] += n
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in rows}
     got = [r.asDict() for r in corpus_pipeline.run(spark, sf).collect()]
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == +want
+    times = Counter(r["doc_id"] for r in got)
+    assert set(times) <= set(text)
+    for r in got:
+        own = text[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["shard"]) == (len(own) + 1, zlib.crc32(own), jump(xxhash.xxh64_intdigest(str(r["doc_id"]).encode(), 42), 8))
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += len(tokens(r["text"]))
+    target = targets(sizes)
+    near_targets([(r["source"], len(tokens(r["text"])), times[r["doc_id"]], target[r["source"]]) for r in rows])
     slots = defaultdict(list)
     for r in got:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_slots_follow_the_training_order(spark, sf):
+    docs = table(spark, sf, "documents")
+    mixed = materialise(corpus_pipeline.mix_sources(spark, docs, sf))
+    files = mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    order = [r["doc_id"] for r in sorted(files, key=lambda r: (r["file_name"], r["row_index"]))]
+    placed = corpus_pipeline.place(spark, mixed, sf).collect()
+    shard = {r["doc_id"]: r["shard"] for r in placed}
+    for s in range(corpus_pipeline.SHARDS):
+        own = [r["doc_id"] for r in sorted((r for r in placed if r["shard"] == s), key=lambda r: r["slot"])]
+        assert own == [d for d in order if shard[d] == s]
+    first = {r["doc_id"]: r["positions"] for r in mixing.plan(docs).collect()}
+    at = [first[d][order[:i].count(d)] for i, d in enumerate(order)]
+    assert at == sorted(at)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages_take_hard_rows(spark, sf, name, stage, empty):
