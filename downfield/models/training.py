@@ -21,6 +21,7 @@ from downfield.constants import (CLASS_FEATURES, EP_FEATURES, PASS_LABELS, PRESS
                                  SCORING_FEATURES, SCORING_TARGETS)
 from downfield.models.metrics import accuracy, auc, classification_report, regression_metrics
 from downfield.functions.clean import coerce_zero
+from downfield.operators.numbering import running
 from downfield.operators.features import prepare_class, prepare_ep, prepare_pressure, prepare_scoring
 from downfield.operators.summary import class_weight
 from downfield.session import materialise, shared_dir
@@ -43,6 +44,23 @@ def with_split(df: DataFrame, keys: tuple[str, ...] = ("game_id", "play_id")) ->
     return df.withColumn("is_train", split_point(list(keys)) < TRAIN_SHARE)
 
 
+def with_exact_split(df: DataFrame, label: str, keys: tuple[str, ...] = ("game_id", "play_id")) -> DataFrame:
+    """Mark four fifths, rounded down, of the plays of each label for training; ``df`` plus ``is_train``.
+
+    Plays are ordered within a label by a hash of their keys and cut there, by a global rank over range partitions, so that
+    one label may hold most plays. A null label is a label. Copies of a play with one label follow each other; only those at
+    the cut can fall on both sides. The result is written, so that training and test plays come from one reading."""
+    if clash := {"part", "before", "rank", "held", "held_rows"} & {c.lower() for c in df.columns}:
+        raise ValueError(f"rename these columns before: {sorted(clash)}")
+    text = F.concat_ws("|", F.lit(str(SEED)), *keys)
+    base = materialise(df.withColumns({"_stratum": F.to_json(F.struct(F.col(label).alias("label"))), "_hash": F.md5(text),
+                                       "_tie": F.xxhash64(*df.columns), "_one": F.lit(1)}))
+    sizes = base.groupBy("_stratum").agg(F.count("*").alias("_plays"))
+    placed = running(base, ["_stratum"], [F.col("_hash"), F.col("_tie")], "_one").join(sizes, "_stratum")
+    return materialise(placed.withColumn("is_train", F.col("rank") < F.floor(F.col("_plays") * 4 / 5))
+                       .select(*df.columns, "is_train"))
+
+
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("is_train"), df.filter("not is_train")
 

@@ -128,16 +128,22 @@ def prepare_pressure(df: DataFrame) -> DataFrame:
     return plays.select("game_id", "play_id", *PRESSURE_FEATURES, "pressure")
 
 
-def scaled_features(df: DataFrame, columns: list[str] = VECTOR_FEATURES) -> DataFrame:
-    """The documented input vector, each feature with mean 0 and deviation 1.
-
-    The means and deviations come from one aggregation pass; missing values
-    count as 0.
-    """
+def fit_scaler(df: DataFrame, columns: list[str] = VECTOR_FEATURES):
+    """A pipeline model that holds the means and deviations of ``columns``, from one aggregation pass; missing values
+    count as 0. It can be saved, loaded and applied to other plays."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    plays = coerce_columns(df, columns)
     stages = [VectorAssembler(inputCols=columns, outputCol="raw_features"),
               StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)]
-    return Pipeline(stages=stages).fit(plays).transform(plays).drop("raw_features")
+    return Pipeline(stages=stages).fit(coerce_columns(df, columns))
+
+
+def apply_scaler(model, df: DataFrame) -> DataFrame:
+    """Add ``features``, scaled by the figures the model was fitted on. Missing values count as 0, also in the scaled columns."""
+    return model.transform(coerce_columns(df, model.stages[0].getInputCols())).drop("raw_features")
+
+
+def scaled_features(df: DataFrame, columns: list[str] = VECTOR_FEATURES) -> DataFrame:
+    """The documented input vector, each feature with mean 0 and deviation 1 over the plays of ``df``."""
+    return apply_scaler(fit_scaler(df, columns), df)

@@ -5,11 +5,12 @@ is stated by the oracles: the test plays and labels, an answer for every one of
 them, and errors no worse than those of a constant.
 """
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from downfield.constants import EP_FEATURES, SCORING_TARGETS
+from downfield.constants import EP_FEATURES, SCORING_TARGETS, VECTOR_FEATURES
 from downfield.models import metrics, training
-from downfield.operators.features import prepare_class, prepare_ep, prepare_scoring
+from downfield.operators.features import apply_scaler, fit_scaler, prepare_class, prepare_ep, prepare_scoring
 from downfield.operators.score import score_batch
 from downfield.plans.play_queries import (CLASS_FEATURES_SQL, EP_BATCH, EP_SQL, FROM_PLAYS, KEYS, PASS_BATCH, PLAY_BATCH,
                                           PRESSURE_SQL)
@@ -26,6 +27,31 @@ def q_train_test_split(spark, sf):
     return training.with_split(prepare_ep(data.history(spark, sf))).select("game_id", "play_id", "is_train")
 
 
+@query("exact_split", f"""select {KEYS}, class_5,
+ row_number() over (partition by class_5 order by md5('42|' || game_id || '|' || play_id))
+ <= count(*) over (partition by class_5) * 4 // 5 as is_train from ({CLASS_FEATURES_SQL}) t where class_5 is not null""")
+def q_exact_split(spark, sf):
+    return training.with_exact_split(prepare_class(data.history(spark, sf)), "class_5").select(
+        "game_id", "play_id", "class_5", "is_train")
+
+
+def _scaled_by_training(c: str) -> str:
+    kept = f"case when {TRAIN_SQL} then coalesce({c}, 0) end"
+    return f"round((coalesce({c}, 0) - avg({kept}) over ()) / stddev_samp({kept}) over (), 6) + 0.0 as {c}"
+
+
+@query("scaled_by_training", f"""select {KEYS}, {", ".join(VECTOR_FEATURES)} from (select {KEYS}, {TRAIN_SQL} as is_train,
+ {", ".join(_scaled_by_training(c) for c in VECTOR_FEATURES)} {FROM_PLAYS}) t where not is_train""")
+def q_scaled_by_training(spark, sf):
+    """Test plays scaled by the means and deviations of the training plays, by a model that was saved and loaded again."""
+    train, test = training.train_test(training.with_split(data.plays(spark, sf)))
+    path = new_dir(spark, "scaler")
+    training.save(fit_scaler(train), path)
+    scaled = apply_scaler(training.load(path), test).select("game_id", "play_id", vector_to_array("features").alias("v"))
+    return scaled.select("game_id", "play_id", *[
+        (F.round(F.col("v")[i], 6) + F.lit(0.0)).alias(c) for i, c in enumerate(VECTOR_FEATURES)])
+
+
 @query("metric_regression", f"""select count(*) as n, round(sqrt(avg((ep - p) * (ep - p))), 6) as rmse,
  round(1 - avg((ep - p) * (ep - p)) / var_pop(ep), 6) as r2 from (select ep, {EP_BATCH} as p {FROM_PLAYS}) t""")
 def q_metric_regression(spark, sf):
@@ -65,6 +91,17 @@ def q_metric_auc(spark, sf):
     return metrics.auc_frame(scored, "y", "pass_probability").select(F.round("auc", 9).alias("auc"))
 
 
+@query("metric_auc_by_season", f"""with ranked as (select season, y, rank() over (partition by season order by p)
+  + (count(*) over (partition by season, p) - 1) / 2e0 as rank
+  from (select season, {PASS_BATCH} as p, case when play_type = 'pass' then 1 else 0 end as y {FROM_PLAYS}) a),
+ sums as (select season, sum(case when y = 1 then rank else 0 end) as ranks, count(*) filter (where y = 1) as pos,
+  cast(count(*) filter (where y = 0) as double) as neg from ranked group by season)
+ select season, round((ranks - pos * (pos + 1) / 2e0) / nullif(pos * neg, 0), 9) as auc from sums""")
+def q_metric_auc_by_season(spark, sf):
+    scored = score_batch(data.plays(spark, sf)).withColumn("y", (F.col("play_type") == "pass").cast("int"))
+    return metrics.auc_frame(scored, "y", "pass_probability", "season").withColumn("auc", F.round("auc", 9))
+
+
 @query("scoring_normalise", f"""select {KEYS}, {", ".join(f"round({c} / total, 9) as {c}" for c in SCORING_TARGETS)}
  from (select *, {" + ".join(SCORING_TARGETS)} as total from ({EP_SQL}) a where td_prob is not null) t""")
 def q_scoring_normalise(spark, sf):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from downfield.constants import PASS_LABELS, RUN_LABELS, SCORING_TARGETS
 from downfield.models import metrics, training
-from downfield.operators.features import prepare_ep, scaled_features
+from downfield.operators.features import apply_scaler, fit_scaler, prepare_ep, scaled_features
 from downfield.session import SETTINGS, configure, held, materialise, release, shared_dir
 from downfield.sources import testdata as data
 
@@ -131,6 +131,47 @@ def test_split_is_stable_and_keeps_copies_together(plays):
     assert split.exceptAll(other).count() == 0
 
 
+def test_exact_split_cuts_each_label_at_four_fifths(spark):
+    rows = [(f"g{i % 7}", i, "a" if i < 90 else "b" if i < 101 else None) for i in range(104)] + [("g", 1, "c")] * 10
+    df = spark.createDataFrame(rows, "game_id string, play_id int, kind string")
+    got = training.with_exact_split(df, "kind")
+    counts = {r.kind: (r.n, r.t) for r in got.groupBy("kind").agg(
+        F.count("*").alias("n"), F.count_if("is_train").alias("t")).collect()}
+    assert counts == {"a": (90, 72), "b": (11, 8), None: (3, 2), "c": (10, 8)}
+    assert got.columns == [*df.columns, "is_train"]
+    assert got.exceptAll(training.with_exact_split(df.repartition(3), "kind")).isEmpty()
+    assert training.with_exact_split(df.where("false"), "kind").isEmpty()
+    with pytest.raises(ValueError):
+        training.with_exact_split(df.withColumn("Rank", F.lit(1)), "kind")
+
+
+def test_auc_frame_by_group(spark):
+    rows = [("x", 0, .1), ("x", 1, .4), ("x", 0, .4), ("x", 1, .8), ("x", 0, .2), ("x", 1, .2), (None, 1, .5), (None, 0, .5),
+            ("y", 1, .3), ("y", 1, None), ("y", None, .9)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+
+    def pairs(of):
+        pos, neg = [s for y, s in of if y == 1], [s for y, s in of if y == 0]
+        return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+    known = [r for r in rows if r[1] is not None and r[2] is not None]
+    want = {g: pairs([(y, s) for h, y, s in known if h == g]) for g in ("x", "y", None)}
+    got = {r.g: r.auc for r in metrics.auc_frame(df, "y", "s", "g").collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    whole = metrics.auc_frame(df, "y", "s").first().auc
+    assert whole == pytest.approx(pairs([(y, s) for _, y, s in known]), abs=1e-12)
+
+
+def test_scaler_keeps_the_figures_it_was_fitted_on(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+    train = spark.createDataFrame([(1.0,), (3.0,), (None,)], "down double")
+    other = spark.createDataFrame([(10.0,), (None,)], "down double")
+    training.save(fit_scaler(train, ["down"]), str(tmp_path / "s"))
+    got = apply_scaler(training.load(str(tmp_path / "s")), other).select(vector_to_array("features")[0].alias("v")).collect()
+    mean, deviation = 4 / 3, (((1 - 4 / 3) ** 2 + (3 - 4 / 3) ** 2 + (4 / 3) ** 2) / 2) ** .5
+    assert sorted(r.v for r in got) == pytest.approx([-mean / deviation, (10 - mean) / deviation])
+
+
 def test_auc_against_pairs(spark):
     rows = [(0, .1), (1, .4), (0, .4), (1, .8), (0, .2), (1, .2)]
     pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
