@@ -13,7 +13,7 @@ from downfield.schema import LIVE_PLAY, PLAY_EVENT, TRACKING_FRAME
 from downfield.session import materialise, new_dir
 from downfield.sources import history, log, records, sinks
 from downfield.sources import testdata as data
-from downfield.streaming import jobs
+from downfield.streaming import counters, jobs
 
 # Micro-batches in which a stream takes in the staged files, so that state, watermark and merges go through several.
 BATCHES = 4
@@ -170,6 +170,21 @@ def q_stream_json(spark, sf):
                                            "epa", "event_time")
 
 
+@query("stream_counters", f"""select count(*) as plays, count(*) filter (where play_type = 'run') as runs,
+ count(*) filter (where play_type = 'pass') as passes, count(*) filter (where down > 0) as sent, count(*) as written {FROM_PLAYS}""")
+def q_stream_counters(spark, sf):
+    """What a listener gathered of a running stream, batch by batch, beside the rows that the stream wrote."""
+    path = new_dir(spark, "counted")
+    source = data.event_files(spark, sf)
+    plays = counters.count_plays(jobs.read_from_files(spark, source, max_files=_per_trigger(spark, source)))
+    with counters.listening(spark, counters.PLAYS) as seen:
+        stream = jobs.write_to_parquet(plays, path, new_dir(spark, "ckpt"), partition_by=None, every=None)
+        run(stream)
+        totals = seen.wait(stream)
+    return spark.read.parquet(path).agg(F.count("*").alias("written")).select(
+        *[F.lit(totals[c]).cast("bigint").alias(c) for c in ("plays", "runs", "passes", "sent")], "written")
+
+
 @query("stream_enrich", ENRICHED)
 def q_stream_enrich(spark, sf):
     path = new_dir(spark, "enriched")

@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from downfield.operators import summary, tracking
@@ -16,7 +17,7 @@ from downfield.schema import LIVE_PLAY, PLAY_EVENT, TRACKING_FRAME
 from downfield.session import materialise
 from downfield.sources import history, log, records, sinks
 from downfield.sources import testdata as data
-from downfield.streaming import jobs
+from downfield.streaming import counters, jobs
 
 
 def rows(df):
@@ -320,3 +321,36 @@ def test_streamed_enriched_plays_close_with_the_watermark(spark, tmp_path):
     got = {r.play_id: (r.nearest_defender_dist, r.qb_pocket_location, r.time_to_throw)
            for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: (1.0, "Left", 2.0), 2: (None, None, 1.5), 3: (None, None, 1.5)}
+
+
+def test_counters_of_a_restarted_stream(spark, tmp_path):
+    source, out, ckpt = (str(tmp_path / d) for d in ("in", "out", "ckpt"))
+    schema = "game_id string, play_type string, down int"
+
+    def go(seen):
+        stream = jobs.write_to_parquet(counters.count_plays(jobs.read_from_files(spark, source, schema)), out, ckpt,
+                                       partition_by=None, every=None)
+        stream.awaitTermination()
+        return str(stream.id), seen.wait(stream)
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+
+    with counters.listening(spark, counters.PLAYS) as seen:
+        put([("a", "run", 1), ("a", "pass", None)])
+        put([("b", "pass", 2)])
+        first, totals = go(seen)
+        assert totals == {"plays": 3, "runs": 1, "passes": 2, "sent": 2} and seen.batches(first) == 2
+        put([("c", None, 0)])
+        again, totals = go(seen)
+        assert again == first and totals == {"plays": 4, "runs": 1, "passes": 2, "sent": 2}
+    assert spark.read.parquet(out).count() == 4
+
+
+def test_counts_of_a_repeated_batch_replace_the_first():
+    seen = counters.Counters("n")
+    for query, batch, n in (("q", 0, 5), ("q", 1, 2), ("q", 1, 3), ("p", 0, 7), ("q", 2, None)):
+        seen.add(query, batch, Row(plays=n))
+    seen.add("q", 3, None)
+    assert seen.totals("q") == {"plays": 8} and seen.totals("p") == {"plays": 7} and seen.totals("none") == {}
+    assert seen.batches("q") == 3
