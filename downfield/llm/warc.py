@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.llm.common import small
+from downfield.operators.numbering import running
 from downfield.session import materialise, new_dir
 
 # A task starts a new archive beyond so many compressed bytes, and an index block beyond so many entries; one task reads
@@ -208,40 +209,62 @@ def _members(fs, base: str, entries: list[list]) -> Iterator[bytes]:
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read(directory: DataFrame, root: str) -> DataFrame:
-    """Every record, read back block by block through the index."""
-    def captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def wanted(asked: DataFrame, directory: DataFrame) -> DataFrame:
+    """(file, offset, length, keys): the index blocks whose key range holds keys of ``asked`` (surt), each with at most
+    BLOCK_ENTRIES of those keys in order; a block with more of them has several rows.
+
+    Block starts and keys are range-sorted together, so the block a key falls into is the number of starts up to it. A key
+    that also ends blocks before that one goes on to all of these. No key meets a block it cannot be in."""
+    starts = directory.select(F.col("first_key").alias("surt"), F.lit(1).alias("opens"), "last_key", "file", "offset", "length")
+    keys = asked.select("surt", F.lit(0).alias("opens")).distinct()
+    placed = materialise(running(materialise(starts.unionByName(keys, allowMissingColumns=True)), [],
+                                 [F.col("surt"), F.col("opens").desc(), F.col("last_key")], "opens"))
+    blocks = placed.where("opens = 1").select(F.col("before").alias("block"), "last_key", "file", "offset", "length")
+    ended = blocks.groupBy(F.col("last_key").alias("surt")).agg(F.min("block").alias("since"))
+    pairs = placed.where("opens = 0 and before > 0").join(ended, "surt", "left").select(
+        "surt", F.floor(F.col("rank") / BLOCK_ENTRIES).alias("some"),
+        F.explode(F.sequence(F.coalesce("since", F.col("before") - 1), F.col("before") - 1)).alias("block"))
+    return materialise(pairs.join(blocks, "block").where("surt <= last_key").groupBy("block", "some", "file", "offset", "length")
+                       .agg(F.sort_array(F.collect_list("surt")).alias("keys")).select("file", "offset", "length", "keys"))
+
+
+def _entries(block: list[list], keys: list[str]) -> Iterator[list]:
+    """The entries of a block under the sorted ``keys``, each found by binary search."""
+    upto = 0
+    for key in keys:
+        since = bisect.bisect_left(block, key, lo=upto, key=lambda e: e[0])
+        upto = bisect.bisect_right(block, key, lo=since, key=lambda e: e[0])
+        yield from block[since:upto]
+
+
+def captures(asked: DataFrame, directory: DataFrame, root: str) -> DataFrame:
+    """The records under the keys ``asked`` (surt; repeated ones count once), by key range, binary search and range reads.
+    Keys without a record give none, a key of many records is spread by its blocks."""
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = opened(root)
         for batch in batches:
             for b in batch.itertuples(index=False):
-                found = [parsed(m) for m in _members(fs, base, _block(fs, base, b.file, int(b.offset), int(b.length)))]
-                yield _frame([tuple(r.values()) for r in found], PAGES)
+                entries = _entries(_block(fs, base, b.file, int(b.offset), int(b.length)), list(b.keys))
+                yield _frame([tuple(parsed(m).values()) for m in _members(fs, base, list(entries))], PAGES)
 
-    # A row of the directory is small but stands for a block of records, so the number of tasks follows the rows.
-    tasks = max(1, -(-directory.count() // BLOCKS_PER_TASK))
-    return directory.repartition(tasks).mapInPandas(captures, PAGES)
+    pieces = wanted(asked, directory)
+    # A row is small but stands for a block of records, so the number of tasks follows the rows.
+    tasks = max(1, -(-pieces.count() // BLOCKS_PER_TASK))
+    return pieces.repartition(tasks).mapInPandas(found, PAGES)
 
 
-def lookup(directory: DataFrame, root: str, url: str) -> list[dict]:
-    """The captures of one url: the directory gives the blocks whose key range holds the key, a binary search in each
-    gives the entries, and only their bytes are read."""
-    key = surt(url)
-    blocks = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key").collect()
-    fs, base = opened(root)
-    out = []
-    for b in blocks:
-        entries = _block(fs, base, b["file"], b["offset"], b["length"])
-        keys = [e[0] for e in entries]
-        out += [parsed(m) for m in _members(fs, base, entries[bisect.bisect_left(keys, key):bisect.bisect_right(keys, key)])]
-    return out
+def lookup(directory: DataFrame, root: str, urls: DataFrame) -> DataFrame:
+    """The captures of ``urls`` (url), in no order. Urls that differ only in the case of the host share a key."""
+    key = F.udf(surt, "string")
+    return captures(urls.select(key("url").alias("surt")), directory, root)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` as archives below the shared folder and read them back: page_id, payload_bytes, payload_digest,
-    record_type, refers_to for each row.
+    """Write ``pages`` as archives below the shared folder and look all their keys up in the index: page_id, payload_bytes,
+    payload_digest, record_type, refers_to for each row.
 
     A null html is an empty payload, a null url an empty target, a null page_id a record without a number, which revisits
     only others' numbers; repeated rows give a record each; other columns are ignored. An empty table gives no file."""
     root = new_dir(spark, "warc")
-    _, directory = write(pages, root, least_bytes)
-    return read(directory, root)
+    records, directory = write(pages, root, least_bytes)
+    return captures(records.select("surt"), directory, root)

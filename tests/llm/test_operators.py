@@ -658,9 +658,30 @@ def test_warc_lookup(spark, sf, tmp_path):
         by_url = defaultdict(set)
         for r in pages.collect():
             by_url[r["url"]].add(r["page_id"])
-        for url in list(by_url)[:5]:
-            assert {r["page_id"] for r in warc.lookup(directory, str(tmp_path), url)} == by_url[url]
-        assert warc.lookup(directory, str(tmp_path), "http://absent.example/") == []
+        some = list(by_url)[::3]
+        asked = spark.createDataFrame([(u,) for u in [*some, some[0], "http://absent.example/", " ", "~"]], "url string")
+        got = warc.lookup(directory, str(tmp_path), asked).collect()
+        assert sorted(r["page_id"] for r in got) == sorted(i for u in some for i in by_url[u])
+        assert warc.lookup(directory, str(tmp_path), asked.where("url like '%absent%'")).collect() == []
+    finally:
+        warc.BLOCK_ENTRIES = kept
+
+
+def test_warc_key_of_many_blocks(spark, tmp_path):
+    """A key that fills several blocks, begins in another's and ends in a third's; every record comes once, and alone."""
+    urls = ["http://a.b/1"] * 3 + ["http://a.b/2"] * 25 + ["http://a.b/3"] * 2 + ["http://a.b/2x"]
+    pages = spark.createDataFrame([(i, u, f"text {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.BLOCK_ENTRIES, kept = 4, warc.BLOCK_ENTRIES
+    try:
+        records, directory = warc.write(pages.coalesce(1), str(tmp_path))
+        for url in sorted(set(urls)):
+            pieces = warc.wanted(spark.createDataFrame([(warc.surt(url),)], "surt string"), directory)
+            holds = directory.where((F.col("first_key") <= warc.surt(url)) & (F.col("last_key") >= warc.surt(url)))
+            assert rows(pieces, "file", "offset") == rows(holds, "file", "offset")
+            got = warc.captures(records.select("surt").where(F.col("surt") == warc.surt(url)), directory, str(tmp_path))
+            assert sorted(r["page_id"] for r in got.collect()) == [i for i, u in enumerate(urls) if u == url]
+        got = warc.captures(records.select("surt"), directory, str(tmp_path))
+        assert sorted(r["page_id"] for r in got.collect()) == list(range(len(urls)))
     finally:
         warc.BLOCK_ENTRIES = kept
 
