@@ -197,6 +197,35 @@ def test_encoder_gives_the_ids_of_whole_texts(plain, monkeypatch):
         assert ids == plain(text), repr(text[:80])
 
 
+@pytest.mark.parametrize("part", [7, 1 << 20])
+def test_special_tokens_as_the_library_has_them(monkeypatch, part):
+    monkeypatch.setattr(tokens, "PART_CHARS", part)
+    library = Tokenizer.from_file(BPE)
+    with open(BPE, encoding="utf-8") as f:
+        encoder = tokens.Encoder(f.read(), special=True)
+    rng = random.Random(2)
+    signs = ["<|endoftext|>", "<|", "|>", "endoftext", "a", "I", "'s", " ", "  ", "\n", "é", "中", "1", "!", "\x00"]
+    texts = ["", "<|endoftext|>", "<|endoftext|>" * 3, "x <|endoftext|> y", "<|endoftext|" * 2 + ">"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(1000)]
+    got, ended = [[] for _ in texts], []
+    for number, ids, last in encoder.stream(texts):
+        got[number] += ids.tolist()
+        ended += [number] * last
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ended == list(range(len(texts)))
+
+
+def test_query_encodes_special_tokens(spark, tmp_path):
+    texts = {1: "a <|endoftext|>b", 2: None, 3: "<|endoftext|>"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    library, at = Tokenizer.from_file(BPE), 0
+    got = {r["doc_id"]: r for r in queries.QUERIES["op13_tokens"](spark, str(tmp_path)).collect()}
+    for i, text in texts.items():
+        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("kind", [np.uint32, np.uint64])
 def test_planes_round_trip(kind):
     rng = np.random.default_rng(4)
