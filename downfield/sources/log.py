@@ -9,7 +9,6 @@ A query that starts again on its checkpoint goes on behind its last batch, whate
 """
 
 import json
-import re
 import sys
 from collections.abc import Iterator
 
@@ -24,7 +23,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCHEMA = "position bigint, value string"
 PER_FETCH = 100
-_FILE = re.compile(r"chunk=(\d+)/part-[^/]*$")
 
 
 def _opened(path: str) -> tuple[FileSystem, str]:
@@ -48,16 +46,16 @@ class LogReader(DataSourceStreamReader):
             raise ValueError(f"start must be latest or earliest, not {self.start}")
         self.checkpoint = options["checkpoint"]
         self.upto: int | None = None
+        self.files: list[str] = []
 
     def _files(self) -> list[str]:
-        """The files by number, up to the first that is missing."""
+        """The files by number, up to the first that is missing. Only the folders themselves are looked into: a writer's
+        temporary ones below ``path`` hold files of the same names, half written, that vanish when it is done."""
         fs, base = _opened(self.path)
-        found = {int(m[1]): f.path for f in fs.get_file_info(FileSelector(base, allow_not_found=True, recursive=True))
-                 if (m := _FILE.search(f.path))}
-        files = []
-        while len(files) in found:
-            files.append(found[len(files)])
-        return files
+        while found := [f.path for f in fs.get_file_info(FileSelector(f"{base}/chunk={len(self.files)}", allow_not_found=True))
+                        if f.type == FileType.File and f.base_name.startswith("part-")]:
+            self.files.append(found[0])
+        return self.files
 
     def _end(self) -> int:
         files = self._files()

@@ -155,6 +155,16 @@ def test_log_from_both_ends_goes_on_without_loss(spark, tmp_path):
     assert max(sum(r.batch == b for r in got) for b in {r.batch for r in got}) == 4
 
 
+def test_log_leaves_files_that_are_being_written(tmp_path):
+    path = str(tmp_path / "log")
+    logged(path, 0, 5)
+    logged(f"{path}/_temporary/0/_temporary/attempt_1_m_000001_2", 5, 2)
+    reader = log.LogReader({"path": path, "rows": "5", "checkpoint": str(tmp_path / "ckpt"), "start": "earliest"})
+    assert reader._end() == 5
+    logged(path, 5, 5)
+    assert reader._end() == 10 and all("_temporary" not in f for f in reader._files())
+
+
 def test_log_start_must_be_known():
     with pytest.raises(ValueError):
         log.LogReader({"path": "x", "rows": "5", "checkpoint": "c", "start": "middle"})
