@@ -364,3 +364,11 @@ def test_counts_of_a_repeated_batch_replace_the_first():
     seen.add("q", 3, None)
     assert seen.totals("q") == {"plays": 8} and seen.totals("p") == {"plays": 7} and seen.totals("none") == {}
     assert seen.batches("q") == 3
+
+
+def test_staged_texts_are_packed(spark, sf):
+    for path in (data.event_files(spark, sf), data.live_files(spark, sf), data.season_files(spark, sf) + "/all",
+                 data.tracking_files(spark, sf)[1] + "/now"):
+        names = [n for n in os.listdir(path.removeprefix("file:")) if n.startswith("part-")]
+        assert names and all(n.endswith(".gz") for n in names)
+    assert spark.read.schema("play_id bigint").json(data.event_files(spark, sf)).count() == data.history(spark, sf).count()
