@@ -130,14 +130,15 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES,
                     (F.col("copies") * F.col("size")).cast("long").alias("taken"), "positions"))
 
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` in training order, repeated or left out as ``plan`` says, with their columns unchanged.
+def _laid(docs: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The plan, the rows it takes in training order (``row``, with their position ``at``), and the key columns that both have.
 
     Rows equal in doc_id, source and text share a key. They are numbered among themselves over range partitions, by a hash of
     all their columns, and the n-th takes the n-th place of the plan, so no array or task holds all of them."""
     keys = [F.xxhash64("doc_id", "source", "hash").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "source", "hash").alias("k2")]
     key = ["k1", "k2"]
-    planned = materialise(plan(docs, **settings).withColumnRenamed("key", "hash").select(*keys, "positions"))
+    planned = materialise(plan(docs, **settings).withColumnRenamed("key", "hash").select(
+        *keys, "doc_id", "size", "source_size", "target", "positions"))
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row")).select(*keys, "row")
     repeated = materialise(planned.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
     if not repeated.isEmpty():
@@ -147,6 +148,25 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
             copies = running(materialise(df.join(again, key).withColumn("one", F.lit(1))), key, [order], "one").drop("one", "before")
             return copies.unionByName(df.join(again, key, "left_anti").withColumn("rank", F.lit(0)))
 
-        planned, rows, key = told_apart(planned, F.get("positions", F.lit(0))), told_apart(rows, F.xxhash64("row")), [*key, "rank"]
-    at = rows.join(planned.where(F.size("positions") > 0), key).select("k1", "row", F.explode("positions").alias("at"))
-    return at.repartitionByRange("at", "k1").sortWithinPartitions("at", "k1").select("row.*")
+        planned, rows = materialise(told_apart(planned, F.get("positions", F.lit(0)))), told_apart(rows, F.xxhash64("row"))
+        key = [*key, "rank"]
+    at = rows.join(planned.where(F.size("positions") > 0).select(*key, "positions"), key).select(*key, "row", F.explode("positions").alias("at"))
+    return planned, at.repartitionByRange("at", "k1").sortWithinPartitions("at", "k1"), key
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` in training order, repeated or left out as ``plan`` says, with their columns unchanged."""
+    return _laid(docs, settings)[1].select("row.*")
+
+
+def account(docs: DataFrame, **settings) -> DataFrame:
+    """Write the mix of ``docs``, whole rows in training order, and tell from what was written how often each row is in it
+    (``copies``), with how many words (``taken``) and where first (``first_position``, null if not). One row for each of
+    ``docs``, with doc_id, size, source_size and target as ``plan`` has them."""
+    planned, laid, key = _laid(docs, settings)
+    written = materialise(laid, compression="zstd")
+    found = written.groupBy(*key).agg(F.count("*").alias("copies"), F.sum(n_words(F.col("row.text"))).alias("taken"),
+                                      F.min("at").alias("first_position"))
+    return planned.join(found, key, "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        F.coalesce("copies", F.lit(0).cast("long")).alias("copies"), "first_position")

@@ -237,6 +237,27 @@ def test_mix_repeats_whole_rows(docs):
     assert Counter(r["doc_id"] for r in mixed.collect()) == +planned
 
 
+def test_account_is_that_of_a_written_mix(any_docs, monkeypatch):
+    """What is counted are whole rows, written in training order, and agrees with the plan."""
+    written = []
+
+    def keep(df, **options):
+        table = materialise(df, **options)
+        if {"row", "at"} <= set(df.columns):
+            written.append(table)
+        return table
+
+    monkeypatch.setattr(mixing, "materialise", keep)
+    got = mixing.account(any_docs).collect()
+    want = [(r["doc_id"], r["size"], r["taken"], r["copies"], (r["positions"] or [None])[0]) for r in mixing.plan(any_docs).collect()]
+    assert Counter((r["doc_id"], r["size"], r["taken"], r["copies"], r["first_position"]) for r in got) == Counter(want)
+    assert len(written) == 1
+    rows = written[0].select("row.*")
+    assert rows.columns == any_docs.columns and rows.count() == sum(r["copies"] for r in got)
+    again = rows.select("doc_id", "source", "text").distinct()
+    assert again.exceptAll(any_docs.select("doc_id", "source", "text").distinct()).isEmpty()
+
+
 # urls ------------------------------------------------------------------------------------------------------------------
 
 def parts(url):
