@@ -372,3 +372,13 @@ def test_staged_texts_are_packed(spark, sf):
         names = [n for n in os.listdir(path.removeprefix("file:")) if n.startswith("part-")]
         assert names and all(n.endswith(".gz") for n in names)
     assert spark.read.schema("play_id bigint").json(data.event_files(spark, sf)).count() == data.history(spark, sf).count()
+
+
+def test_orders_of_one_row_group_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(data, "ROWS_PER_FILE", 100)
+    spark.range(1000).selectExpr("id as o_orderkey", "id * 7 as o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    dealt = data._dealt(spark, str(tmp_path), data.TRACKED_PLAYS_SQL)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
+    assert dealt.exceptAll(data.view_sql(spark, str(tmp_path), data.TRACKED_PLAYS_SQL)).isEmpty() and dealt.count() == 1000
+    assert data._frames(spark, str(tmp_path)).count() == 20_000
