@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -47,18 +47,28 @@ def with_split(df: DataFrame, keys: tuple[str, ...] = ("game_id", "play_id")) ->
 def with_exact_split(df: DataFrame, label: str, keys: tuple[str, ...] = ("game_id", "play_id")) -> DataFrame:
     """Mark four fifths, rounded down, of the plays of each label for training; ``df`` plus ``is_train``.
 
-    Plays are ordered within a label by a hash of their keys and cut there, by a global rank over range partitions, so that
-    one label may hold most plays. A null label is a label. Copies of a play with one label follow each other; only those at
-    the cut can fall on both sides. The result is written, so that training and test plays come from one reading."""
+    Plays are ordered within a label by a hash of their keys and cut there. Plays are counted by label and the first bits of
+    the hash, which tells the bucket that each label's cut lies in; only the plays of that bucket are ranked, over range
+    partitions, as copies of one play may fill it. So no sort sees all plays, and one label may hold most of them. A null label is
+    a label. Copies of a play with one label follow each other; only those at the cut can fall on both sides. The result is
+    written, so that training and test plays come from one reading."""
     if clash := {"part", "before", "rank", "held", "held_rows"} & {c.lower() for c in df.columns}:
         raise ValueError(f"rename these columns before: {sorted(clash)}")
-    text = F.concat_ws("|", F.lit(str(SEED)), *keys)
-    base = materialise(df.withColumns({"_stratum": F.to_json(F.struct(F.col(label).alias("label"))), "_hash": F.md5(text),
-                                       "_tie": F.xxhash64(*df.columns), "_one": F.lit(1)}))
-    sizes = base.groupBy("_stratum").agg(F.count("*").alias("_plays"))
-    placed = running(base, ["_stratum"], [F.col("_hash"), F.col("_tie")], "_one").join(sizes, "_stratum")
-    return materialise(placed.withColumn("is_train", F.col("rank") < F.floor(F.col("_plays") * 4 / 5))
-                       .select(*df.columns, "is_train"))
+    hashed = F.md5(F.concat_ws("|", F.lit(str(SEED)), *keys))
+    base = materialise(df.withColumns({"_stratum": F.to_json(F.struct(F.col(label).alias("label"))),
+                                       "_bucket": F.conv(F.substring(hashed, 1, 4), 16, 10).cast("int")}))
+    counts = base.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_plays"))
+    whole = Window.partitionBy("_stratum")
+    upto = F.sum("_plays").over(whole.orderBy("_bucket"))
+    wanted = F.floor(F.sum("_plays").over(whole) * 4 / 5)
+    cuts = materialise(counts.select("_stratum", "_bucket", (wanted - upto + F.col("_plays")).alias("_open"), (upto > wanted).alias("_over"))
+                       .filter("_over").groupBy("_stratum").agg(F.min(F.struct("_bucket", "_open")).alias("_cut")))
+    placed = base.join(cuts, "_stratum")
+    at = placed.filter("_bucket = _cut._bucket").withColumns({"_hash": hashed, "_tie": F.xxhash64(*df.columns), "_one": F.lit(1)})
+    ranked = running(materialise(at), ["_stratum"], [F.col("_hash"), F.col("_tie")], "_one")
+    columns = [F.col(c) for c in df.columns]
+    return materialise(placed.filter("_bucket <> _cut._bucket").select(*columns, F.expr("_bucket < _cut._bucket").alias("is_train"))
+                       .unionByName(ranked.select(*columns, F.expr("rank < _cut._open").alias("is_train"))))
 
 
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:

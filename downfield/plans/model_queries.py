@@ -31,8 +31,8 @@ def q_train_test_split(spark, sf):
  row_number() over (partition by class_5 order by md5('42|' || game_id || '|' || play_id))
  <= count(*) over (partition by class_5) * 4 // 5 as is_train from ({CLASS_FEATURES_SQL}) t where class_5 is not null""")
 def q_exact_split(spark, sf):
-    return training.with_exact_split(prepare_class(data.history(spark, sf)), "class_5").select(
-        "game_id", "play_id", "class_5", "is_train")
+    labels = prepare_class(data.history(spark, sf)).select("game_id", "play_id", "class_5")
+    return training.with_exact_split(labels, "class_5")
 
 
 def _scaled_by_training(c: str) -> str:

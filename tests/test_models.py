@@ -1,5 +1,7 @@
 """Models: what must hold whatever the trees look like."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +147,19 @@ def test_exact_split_cuts_each_label_at_four_fifths(spark):
         training.with_exact_split(df.withColumn("Rank", F.lit(1)), "kind")
 
 
+def test_exact_split_ranks_only_the_plays_at_the_cuts(spark, monkeypatch):
+    ranked, running = [], training.running
+    monkeypatch.setattr(training, "running", lambda df, *more: ranked.append(df.count()) or running(df, *more))
+    rows = [(f"g{i % 7}", i, "a" if i % 3 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "game_id string, play_id int, kind string")
+    got = training.with_exact_split(df, "kind")
+    assert sum(ranked) < 30
+    order = {k: sorted(hashlib.md5(f"42|{g}|{i}".encode()).hexdigest() for g, i, x in rows if x == k) for k in ("a", None)}
+    train = {k: order[k][:len(order[k]) * 4 // 5] for k in order}
+    want = {(g, i, k): hashlib.md5(f"42|{g}|{i}".encode()).hexdigest() <= train[k][-1] for g, i, k in rows}
+    assert {(r.game_id, r.play_id, r.kind): r.is_train for r in got.collect()} == want
+
+
 def test_auc_frame_by_group(spark):
     rows = [("x", 0, .1), ("x", 1, .4), ("x", 0, .4), ("x", 1, .8), ("x", 0, .2), ("x", 1, .2), (None, 1, .5), (None, 0, .5),
             ("y", 1, .3), ("y", 1, None), ("y", None, .9)]
