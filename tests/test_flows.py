@@ -302,6 +302,19 @@ def test_defenders_without_a_position_count(spark):
     assert [(r.play_id, r.nearest_defender_dist, r.time_to_throw) for r in got] == [(1, 1.0, 0.0)]
 
 
+def test_frames_are_dealt_once(spark):
+    """Repeated spots and frames without keys among them; of the raw frames there is one exchange."""
+    frames = spark.createDataFrame(
+        [("g", 1, 1, "q", "A", "QB", 0.0, 0.0), ("g", 1, 1, "p", "A", "QB", 3.0, 0.0), ("g", 1, 1, "d", "B", "CB", 4.0, 0.0)] * 3
+        + [(None, None, 1, "q", "A", "QB", 0.0, 1.0), (None, None, 1, "d", "B", None, 0.0, 3.0), ("g", 2, 1, "q", "A", "QB", 0.0, 0.0)],
+        "game_id string, play_id bigint, frame_id int, player_id string, team string, position string, x double, y double",
+    ).withColumn("event_time", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    found = tracking.nearest_by_frame(frames)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.game_id, r.play_id, r.qb_y, r.distance) for r in found.collect()} == {
+        ("g", 1, 0.0, 1.0), (None, None, 1.0, 2.0), ("g", 2, 0.0, None)}
+
+
 def test_enriched_plays_of_the_event_layout(spark, sf):
     events = play_event(data.history(spark, sf).limit(20))
     got = tracking.enriched_plays(events, data.tracking(spark, sf))
