@@ -226,7 +226,7 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking frames at ten per second, up to four per play, as a recorder would have left them."""
-    path = staged(spark, sf_dir, "frames", lambda path: _frames(spark, sf_dir).write.parquet(path))
+    path = staged(spark, sf_dir, "frames", lambda path: _frames(spark, sf_dir).write.option("compression", "zstd").parquet(path))
     return spark.read.parquet(path)
 
 
@@ -275,6 +275,7 @@ def tracking_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 # Rows per staged file, so that many tasks can read what one task wrote; texts are packed, to a tenth or less.
 ROWS_PER_FILE = 20_000
 PACKED = {"maxRecordsPerFile": ROWS_PER_FILE, "compression": "gzip"}
+PACKED_TABLE = {"maxRecordsPerFile": ROWS_PER_FILE, "compression": "zstd"}
 # Folders written so far, by session, source folder and name.
 _STAGED: dict[tuple[str, str, str], str] = {}
 
@@ -295,9 +296,9 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     def write(path: str) -> None:
         rows = _dealt(spark, sf_dir, GAMES_SQL)
         (rows.select("game_id", F.to_json(_event()).alias("event")).write
-         .option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/events"))
+         .options(**PACKED_TABLE).parquet(f"{path}/events"))
         (rows.filter("has_summary").select("game_id", F.to_json(_summary()).alias("summary"))
-         .write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/summaries"))
+         .write.options(**PACKED_TABLE).parquet(f"{path}/summaries"))
 
     path = staged(spark, sf_dir, "feed", write)
     return spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/summaries")
