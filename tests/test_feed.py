@@ -84,3 +84,13 @@ def test_only_playable_live_games_are_scored(spark):
     got = feed.live_records(ev, su).collect()
     assert [r.game_id for r in got] == ["a"] and got[0].ml_predictions.td_prob == got[0].td_prob
     assert feed.poll_counters(ev, su).first().asDict() == {"games": 3, "live_games": 2, "plays_sent": 1}
+
+
+def test_join_carries_only_the_branches_that_are_read(spark):
+    """The situation needs neither drives of a summary nor leaders of a competitor: neither is parsed or dealt."""
+    events = spark.createDataFrame([("g", "{}")], "game_id string, event string")
+    summaries = spark.createDataFrame([("g", "{}")], "game_id string, summary string")
+    games = feed.with_situation(feed.home_away(feed.game_summary_join(events, summaries)))
+    plan = games.select("game_id", "posteam", "yardline_100", "score_differential")._jdf.queryExecution().optimizedPlan()
+    join = next(line for line in plan.toString().splitlines() if "Project" in line and "_extract" in line)
+    assert "winprobability" not in plan.toString() and "home_side" not in join
