@@ -104,12 +104,12 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES,
     are rows alike; other columns are ignored. An empty table gives none."""
     thin = materialise(docs.select(
         "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("key"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffled"),
+        F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("shuffled"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("stream")))
     sources = materialise(source_targets(
         thin.groupBy("source", "stream").agg(F.sum("size").alias("source_size")), weights, limit))
     order = [F.col("shuffled"), F.col("doc_id"), F.col("size"), F.col("key")]
-    placed = running(thin, ["stream"], order, "size").join(
+    placed = running(thin, ["stream"], order, "size").drop("shuffled").join(
         small(sources.select("stream", "source_size", "target", "place")), "stream")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
     rest = F.when(F.col("source_size") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0))

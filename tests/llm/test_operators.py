@@ -757,3 +757,13 @@ def test_line_runs_of_hard_rows(spark, hard):
 
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_mixing_keeps_its_shuffled_order_short(spark, monkeypatch):
+    """The order of a reading travels as 16 bytes, and no further than to the ranks that are made of it."""
+    kept = []
+    monkeypatch.setattr(mixing, "materialise", lambda df, **o: kept.append(df.schema) or materialise(df, **o))
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "x " * (i + 1)) for i in range(20)], "doc_id long, source string, text string")
+    assert mixing.plan(docs).count() == 20
+    held = [s["shuffled"].dataType.simpleString() for s in kept if "shuffled" in s.names]
+    assert held == ["binary"]
