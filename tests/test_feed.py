@@ -5,6 +5,7 @@ import json
 import pytest
 
 from downfield.operators import feed
+from downfield.sources import testdata as data
 
 TEAM = {"home": {"homeAway": "home", "score": "21", "team": {"id": "1", "abbreviation": "KC"}},
         "away": {"homeAway": "away", "score": "14", "team": {"id": "2", "abbreviation": "BUF"}}}
@@ -94,3 +95,8 @@ def test_join_carries_only_the_branches_that_are_read(spark):
     plan = games.select("game_id", "posteam", "yardline_100", "score_differential")._jdf.queryExecution().optimizedPlan()
     join = next(line for line in plan.toString().splitlines() if "Project" in line and "_extract" in line)
     assert "winprobability" not in plan.toString() and "home_side" not in join
+
+
+def test_staged_documents_are_packed(spark, sf):
+    for df in data.feed_documents(spark, sf):
+        assert df.inputFiles() and all(name.endswith(".zstd.parquet") for name in df.inputFiles())
