@@ -29,6 +29,10 @@ from downfield.session import materialise, shared_dir
 SEED = 42
 TRAIN_SHARE = 0.8
 VECTOR = "feature_vector"
+# Plays in a task of a fit: with fewer, starting the task costs more than it saves; with more, its kept block gets too large.
+LEAST_PLAYS, MOST_PLAYS = 10_000, 1_000_000
+# Up to so many plays all fits of a set run at a time; each keeps its own binned plays.
+FEW_PLAYS = 5_000_000
 
 
 def split_point(keys: list[str], seed: int = SEED) -> Column:
@@ -75,6 +79,15 @@ def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("is_train"), df.filter("not is_train")
 
 
+def dealt(df: DataFrame, at_once: int = 1) -> DataFrame:
+    """Plays dealt evenly over the cores that each of ``at_once`` fits can use. As they were written, all of them may lie in
+    one row group, and one task alone would then pass over them for every level of every tree."""
+    cores = -(-df.sparkSession.sparkContext.defaultParallelism // at_once)
+    rows = df.count()
+    waves = -(-rows // (cores * MOST_PLAYS))
+    return df.repartition(max(1, min(cores * waves, rows // LEAST_PLAYS)))
+
+
 def _fit(df: DataFrame, columns: list[str], estimator) -> PipelineModel:
     shared_dir(df.sparkSession)  # long boosting runs cut their lineage there
     assembler = VectorAssembler(inputCols=columns, outputCol=VECTOR)
@@ -133,7 +146,7 @@ def importance(model: PipelineModel, top: int = 10) -> DataFrame:
 def train_ep(df: DataFrame, trees: int = 500, depth: int = 6) -> tuple[PipelineModel, DataFrame]:
     """Expected-points regressor; metrics are those of the test plays."""
     train, test = train_test(materialise(with_split(prepare_ep(df))))
-    model = _fit(train, EP_FEATURES, _trees(GBTRegressor, "ep", trees, depth, 0.05, subsamplingRate=0.8,
+    model = _fit(dealt(train), EP_FEATURES, _trees(GBTRegressor, "ep", trees, depth, 0.05, subsamplingRate=0.8,
                                             featureSubsetStrategy="0.8", minInstancesPerNode=10))
     return model, regression_metrics(apply_model(model, test, "ep_pred"), "ep", "ep_pred")
 

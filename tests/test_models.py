@@ -123,6 +123,40 @@ def test_registered_pass_stages_ask_for_the_published_trees(spark, sf, monkeypat
     assert asked == [stage, ("is_pass", 300, 6, 0.05), ("is_outside", 300, 6, 0.05), stage]
 
 
+def _dealt_sizes(plays, monkeypatch, train) -> list[list[int]]:
+    """Plays per task of each fit that ``train`` asks for, when all plays come from one file."""
+    sizes, fit = [], training._fit
+
+    def short(df, columns, estimator):
+        sizes.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        one = estimator.getClassifier() if hasattr(estimator, "getClassifier") else estimator
+        one.setMaxIter(1).setMaxDepth(1)
+        return fit(df, columns, estimator)
+
+    monkeypatch.setattr(training, "LEAST_PLAYS", 50)
+    monkeypatch.setattr(training, "_fit", short)
+    train(training.materialise(plays.coalesce(1)))
+    return sizes
+
+
+def test_ep_fit_deals_its_plays_over_the_cores(spark, plays, monkeypatch):
+    (sizes,) = _dealt_sizes(plays, monkeypatch, training.train_ep)
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)
+
+
+def test_dealt_plays_are_all_plays(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 5, None if i % 3 else "x") for i in range(1000)], "a int, b string").coalesce(1)
+    assert training.dealt(df).rdd.getNumPartitions() == 1  # too few to share out
+    monkeypatch.setattr(training, "LEAST_PLAYS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    for at_once, most, parts in ((1, 1000, cores), (3, 1000, -(-cores // 3)), (1, 50, cores * -(-1000 // (50 * cores)))):
+        monkeypatch.setattr(training, "MOST_PLAYS", most)
+        got = training.dealt(df, at_once)
+        assert got.rdd.getNumPartitions() == parts
+        assert got.exceptAll(df).isEmpty() and df.exceptAll(got).isEmpty()
+    assert training.dealt(df.where("false")).count() == 0
+
+
 def test_split_is_stable_and_keeps_copies_together(plays):
     split = training.with_split(prepare_ep(plays))
     sides = split.groupBy("game_id", "play_id").agg(F.count_distinct("is_train").alias("n"))
