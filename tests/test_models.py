@@ -144,6 +144,21 @@ def test_ep_fit_deals_its_plays_over_the_cores(spark, plays, monkeypatch):
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)
 
 
+def test_scoring_fits_deal_their_plays(spark, plays, monkeypatch):
+    sizes = _dealt_sizes(plays, monkeypatch, lambda df: training.train_scoring(df, targets=SCORING_TARGETS[:4]))
+    parts = -(-spark.sparkContext.defaultParallelism // 4)
+    assert [len(s) for s in sizes] == [parts] * 4 and max(map(max, sizes)) - min(map(min, sizes)) <= parts
+
+
+@pytest.mark.parametrize("limit, together", [(10**9, 7), (10, 4)])
+def test_scoring_fits_run_together_over_few_plays(plays, monkeypatch, limit, together):
+    at_once = []
+    monkeypatch.setattr(training, "FEW_PLAYS", limit)
+    monkeypatch.setattr(training, "dealt", lambda df, n=1: at_once.append(n) or df)
+    training.train_scoring(plays, trees=1, depth=1)
+    assert at_once == [together]
+
+
 def test_dealt_plays_are_all_plays(spark, monkeypatch):
     df = spark.createDataFrame([(i % 5, None if i % 3 else "x") for i in range(1000)], "a int, b string").coalesce(1)
     assert training.dealt(df).rdd.getNumPartitions() == 1  # too few to share out
