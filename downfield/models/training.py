@@ -242,7 +242,7 @@ def train_pressure(df: DataFrame, trees: int = 500, depth: int = 4) -> tuple[Pip
     train, test = train_test(materialise(with_split(prepare_pressure(df))))
     weight = class_weight(train, "pressure").first()["weight"] or 1.0
     weighted = train.withColumn("weight", F.when(F.col("pressure") == 1, weight).otherwise(1.0))
-    model = _fit(weighted, PRESSURE_FEATURES, _trees(
+    model = _fit(dealt(weighted), PRESSURE_FEATURES, _trees(
         GBTClassifier, "pressure", trees, depth, 0.01, subsamplingRate=0.7, featureSubsetStrategy="0.7",
         minInstancesPerNode=5, minInfoGain=0.0, weightCol="weight"))
     scored = materialise(apply_model(model, test, "chance", proba=True).withColumn(

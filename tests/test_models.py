@@ -139,8 +139,9 @@ def _dealt_sizes(plays, monkeypatch, train) -> list[list[int]]:
     return sizes
 
 
-def test_ep_fit_deals_its_plays_over_the_cores(spark, plays, monkeypatch):
-    (sizes,) = _dealt_sizes(plays, monkeypatch, training.train_ep)
+@pytest.mark.parametrize("train", [training.train_ep, training.train_pressure])
+def test_single_fits_deal_their_plays_over_the_cores(spark, plays, monkeypatch, train):
+    (sizes,) = _dealt_sizes(plays, monkeypatch, train)
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)
 
 
