@@ -145,6 +145,13 @@ def test_single_fits_deal_their_plays_over_the_cores(spark, plays, monkeypatch,
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)
 
 
+@pytest.mark.parametrize("train, at_once", [(training.train_run_pass, 1), (training.train_run_type, 1), (training.train_pass_type, 3)])
+def test_class_fits_deal_their_plays_over_the_cores(spark, plays, monkeypatch, train, at_once):
+    (sizes,) = _dealt_sizes(training.with_split(training.prepare_class(plays)).filter("is_train"), monkeypatch, train)
+    parts = -(-spark.sparkContext.defaultParallelism // at_once)
+    assert len(sizes) == parts and max(sizes) - min(sizes) <= parts
+
+
 def test_scoring_fits_deal_their_plays(spark, plays, monkeypatch):
     sizes = _dealt_sizes(plays, monkeypatch, lambda df: training.train_scoring(df, targets=SCORING_TARGETS[:4]))
     parts = -(-spark.sparkContext.defaultParallelism // 4)
