@@ -1,6 +1,8 @@
 """Models: what must hold whatever the trees look like."""
 
 import hashlib
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +160,26 @@ def test_scoring_fits_deal_their_plays(spark, plays, monkeypatch):
     assert [len(s) for s in sizes] == [parts] * 4 and max(map(max, sizes)) - min(map(min, sizes)) <= parts
 
 
+@pytest.mark.parametrize("limit, together", [(10**9, 3), (10, 1)])
+def test_stages_are_fitted_together_over_few_plays(plays, monkeypatch, limit, together):
+    begun, most, lock, fit = [], [], threading.Lock(), training._fit
+
+    def counted(df, columns, estimator):
+        with lock:
+            begun.append(estimator.getLabelCol())
+            most.append(len(begun))
+        model = fit(df, columns, estimator)
+        time.sleep(5)
+        with lock:
+            begun.remove(estimator.getLabelCol())
+        return model
+
+    monkeypatch.setattr(training, "FEW_PLAYS", limit)
+    monkeypatch.setattr(training, "_fit", counted)
+    models, _ = training.train_classifier(plays, trees=(1, 1, 1), depths=(1, 1, 1))
+    assert max(most) == together and list(models) == ["run_pass", "run_type", "pass_type"]
+
+
 @pytest.mark.parametrize("limit, together", [(10**9, 7), (10, 4)])
 def test_scoring_fits_run_together_over_few_plays(plays, monkeypatch, limit, together):
     at_once = []
