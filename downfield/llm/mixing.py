@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from downfield.llm.common import n_words, small
 from downfield.operators.numbering import running
-from downfield.session import materialise
+from downfield.session import dropping_shuffles, materialise
 
 # Weights by the place of a source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -152,21 +152,26 @@ def _laid(docs: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame, list[s
 
         planned, rows = materialise(told_apart(planned, F.get("positions", F.lit(0)))), told_apart(rows, F.xxhash64("row"))
         key = [*key, "rank"]
-    at = rows.join(planned.where(F.size("positions") > 0).select(*key, "positions"), key).select(*key, "row", F.explode("positions").alias("at"))
+    # Written between the two exchanges of whole texts, packed and before copies multiply, so that only one of them is on disk at a time.
+    placed = materialise(rows.join(planned.where(F.size("positions") > 0).select(*key, "positions"), key).select(
+        *key, "row", "positions"), compression="zstd")
+    at = placed.select(*key, "row", F.explode("positions").alias("at"))
     return planned, at.repartitionByRange("at", "k1").sortWithinPartitions("at", "k1"), key
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` in training order, repeated or left out as ``plan`` says, with their columns unchanged."""
-    return _laid(docs, settings)[1].select("row.*")
+    with dropping_shuffles(docs.sparkSession):
+        return _laid(docs, settings)[1].select("row.*")
 
 
 def account(docs: DataFrame, **settings) -> DataFrame:
     """Write the mix of ``docs``, whole rows in training order, and tell from what was written how often each row is in it
     (``copies``), with how many words (``taken``) and where first (``first_position``, null if not). One row for each of
     ``docs``, with doc_id, size, source_size and target as ``plan`` has them."""
-    planned, laid, key = _laid(docs, settings)
-    written = materialise(laid, **PACKED)
+    with dropping_shuffles(docs.sparkSession):
+        planned, laid, key = _laid(docs, settings)
+        written = materialise(laid, **PACKED)
     found = written.groupBy(*key).agg(F.count("*").alias("copies"), F.sum(n_words(F.col("row.text"))).alias("taken"),
                                       F.min("at").alias("first_position"))
     return planned.join(found, key, "left").select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from downfield.llm import decontaminate, linedup, mixing, quality, queries, secrets, shards, simhash, toxicity, urls, warc
 from downfield.llm.common import table
 from downfield.operators.numbering import running
-from downfield.session import materialise
+from downfield.session import CLEANUP, materialise
 
 PASSAGE = " ".join(f"mark{i}" for i in range(60))
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -767,3 +767,19 @@ def test_mixing_keeps_its_shuffled_order_short(spark, monkeypatch):
     assert mixing.plan(docs).count() == 20
     held = [s["shuffled"].dataType.simpleString() for s in kept if "shuffled" in s.names]
     assert held == ["binary"]
+
+
+def test_mixing_has_one_exchange_of_texts_on_disk_at_a_time(spark, monkeypatch):
+    written = []
+
+    def keep(df, **options):
+        joined = "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+        written.append((df.columns, joined, spark.conf.get(CLEANUP)))
+        return materialise(df, **options)
+
+    monkeypatch.setattr(mixing, "materialise", keep)
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat('w ', cast(id % 7 + 1 as int)) as text", "if(id < 30, 'a', 'b') as source")
+    got = mixing.account(docs).collect()
+    assert len(got) == 40 and sum(r["taken"] for r in got) > 0
+    assert [(joined, cleaned) for columns, joined, cleaned in written if "row" in columns] == [(True, "true"), (False, "true")]
+    assert spark.conf.get(CLEANUP) == "false"
