@@ -5,10 +5,14 @@ import threading
 import time
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from downfield.constants import PASS_LABELS, RUN_LABELS, SCORING_TARGETS
-from downfield.models import metrics, training
+from downfield.models import boosting, metrics, training
 from downfield.operators.features import apply_scaler, fit_scaler, prepare_ep, scaled_features
 from downfield.session import SETTINGS, configure, held, materialise, release, shared_dir
 from downfield.sources import testdata as data
@@ -108,6 +112,61 @@ def test_all_trees_are_fitted(plays):
     assert training.train_run_type(train, 12, 2).stages[-1].getNumTrees == 12
 
 
+def _of_known_sums(spark):
+    rows = [(float(i % 5), ((i * 7919) % 1000) / 1000 - 0.5, float((i * 31) % 60), 0.0, float(1 + i % 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double, weight double").withColumns(
+        {"y": F.sin(F.col("b") * 6) * F.col("a") + F.col("c") / 20, "label": (F.col("b") * F.col("a") > 0.1).cast("int")})
+    return VectorAssembler(inputCols=["a", "b", "c", "same"], outputCol="features").transform(df.repartition(3))
+
+
+@pytest.mark.parametrize("ours, sparks, more", [
+    (boosting.BoostedRegressor, GBTRegressor, {"labelCol": "y", "minInstancesPerNode": 10}),
+    (boosting.BoostedClassifier, GBTClassifier, {"weightCol": "weight", "minInstancesPerNode": 5}),
+    (boosting.BoostedRegressor, GBTRegressor, {"labelCol": "y", "maxBins": 8})])
+def test_trees_are_those_of_spark(spark, monkeypatch, ours, sparks, more):
+    monkeypatch.setattr(boosting, "TASK_PLAYS", 500)  # four tasks
+    monkeypatch.setattr(boosting, "CELLS", 100)
+    df = _of_known_sums(spark)
+    own, want = (kind(maxIter=8, maxDepth=4, stepSize=0.1, seed=42, **more).fit(df) for kind in (ours, sparks))
+    assert own.treeWeights == want.treeWeights and own.totalNumNodes == want.totalNumNodes
+    assert own.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=1e-9)
+    answer = F.col("prediction") if sparks is GBTRegressor else vector_to_array("probability")[1]
+    got = own.transform(want.transform(df).select("features", answer.alias("want"))).withColumn("got", answer)
+    assert got.filter(F.abs(F.col("got") - F.col("want")) > 1e-9).count() == 0
+
+
+def test_a_fit_takes_few_jobs_however_many_trees(spark, plays):
+    def jobs(trees: int) -> int:
+        spark.sparkContext.setJobGroup(f"fit {trees}", "")
+        training.train_run_pass(training.train_test(training.with_split(training.prepare_class(plays)))[0], trees, 3)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit {trees}"))
+
+    assert jobs(40) <= jobs(2) + 3
+
+
+def test_fits_refuse_what_spark_refuses(spark):
+    df = _of_known_sums(spark)
+    for wrong in (df.withColumn("label", F.lit(2)), df.withColumn("label", F.lit(None).cast("int")), df.filter("false")):
+        with pytest.raises(Exception):
+            boosting.BoostedClassifier(maxIter=2).fit(wrong)
+
+
+def test_values_beyond_the_kept_ones_cut_plays_evenly():
+    import numpy as np
+    values = np.arange(100_000) / 7
+    kept, weights = boosting._thinned(values, np.ones(len(values)))
+    assert len(kept) <= boosting.VALUES and weights.sum() == len(values)
+    cuts = boosting.thresholds(kept, weights, 32)
+    parts = np.diff(np.searchsorted(values, [-1, *cuts, 1e9]))
+    assert len(cuts) == 31 and parts.max() < 1.1 * len(values) / 32
+
+
+def test_without_barrier_stages_sparks_own_fit_runs(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "_mounted", lambda *_: None)
+    monkeypatch.setattr(boosting, "booster", None)
+    assert boosting.BoostedRegressor(labelCol="y", maxIter=3).fit(_of_known_sums(spark)).getNumTrees == 3
+
+
 def test_registered_pass_stages_ask_for_the_published_trees(spark, sf, monkeypatch):
     from downfield.plans import model_queries
     asked, fit = [], training._fit
