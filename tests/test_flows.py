@@ -395,3 +395,21 @@ def test_orders_of_one_row_group_are_dealt_evenly(spark, tmp_path, monkeypatch):
     assert len(sizes) == 10 and max(sizes) < 200
     assert dealt.exceptAll(data.view_sql(spark, str(tmp_path), data.TRACKED_PLAYS_SQL)).isEmpty() and dealt.count() == 1000
     assert data._frames(spark, str(tmp_path)).count() == 20_000
+
+
+def test_replayed_chunks_are_packed_and_whole(spark, tmp_path):
+    events = spark.range(250).selectExpr("concat('g', id % 3) as game_id", "id as play_id", "if(id % 5 = 0, null, id) as down")
+    jobs.write_replay(materialise(events), str(tmp_path / "replay"), 100)
+    files = sorted((tmp_path / "replay").glob("chunk=*/part-*"))
+    assert len(files) == 3 and all(f.name.endswith(".json.gz") for f in files)
+    got = spark.read.schema("game_id string, play_id bigint, down bigint, chunk int").json(str(tmp_path / "replay"))
+    assert got.drop("chunk").exceptAll(events).isEmpty() and events.exceptAll(got.drop("chunk")).isEmpty()
+    assert sorted(r["count"] for r in got.groupBy("chunk").count().collect()) == [50, 100, 100]
+
+
+def test_newest_rows_are_packed(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "game_id string, timestamp int")
+    sinks.write_newest(rows, 0, str(tmp_path), "game_id", "timestamp")
+    files = list((tmp_path / "batch=0").glob("*.parquet"))
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "batch=0")).collect()} == {("a", 2), ("b", 1)}
