@@ -399,7 +399,7 @@ def test_orders_of_one_row_group_are_dealt_evenly(spark, tmp_path, monkeypatch):
 
 def test_replayed_chunks_are_packed_and_whole(spark, tmp_path):
     events = spark.range(250).selectExpr("concat('g', id % 3) as game_id", "id as play_id", "if(id % 5 = 0, null, id) as down")
-    jobs.write_replay(materialise(events), str(tmp_path / "replay"), 100)
+    jobs.write_replay(materialise(events), str(tmp_path / "replay"), 100, compression="gzip")
     files = sorted((tmp_path / "replay").glob("chunk=*/part-*"))
     assert len(files) == 3 and all(f.name.endswith(".json.gz") for f in files)
     got = spark.read.schema("game_id string, play_id bigint, down bigint, chunk int").json(str(tmp_path / "replay"))
